@@ -8,7 +8,7 @@ number of rows, so per-batch work is bounded too; work per group always goes thr
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
 from trustwatch.operators import ordered
+from trustwatch.session import checkpoint_dir
 
 MAX_EVENTS = 12
 SHIFT_WINDOW = 25
@@ -56,6 +57,7 @@ class Context:
     ranges: DataFrame | None = None
     group_rows: str | None = "group_rows"
     exact: bool = True
+    windows: DataFrame | None = None
 
     def role(self, s: str) -> str:
         return self.roles.get(s, "continuous_measured")
@@ -69,11 +71,11 @@ class Context:
 
 def build_context(wide: DataFrame, signals: Sequence[str], time: str | None = None, limits: Limits | None = None,
                   roles: dict[str, str] | None = None, holds: dict[str, int] | None = None, exact: bool | None = None,
-                  rule_limits: DataFrame | None = None) -> Context:
+                  rule_limits: DataFrame | None = None, stats: DataFrame | None = None) -> Context:
+    """``stats``: written statistics of the table; computed and checkpointed here when missing."""
     lim = limits or Limits()
     ex = S.use_exact(wide, exact)
-    long = wide.select(*signals).unpivot([], list(signals), "signal", "value")
-    st = S.signal_stats(long.withColumn("value", S.finite(F.col("value"))), exact=ex)
+    st = stats if stats is not None else once(table_stats(wide, signals, ex))
     sizes = wide.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
     period = None
     if time:
@@ -83,6 +85,17 @@ def build_context(wide: DataFrame, signals: Sequence[str], time: str | None = No
     return Context(wide, list(signals), st, sizes, time, period, lim, roles or {}, holds or {}, ranges, exact=ex)
 
 
+def table_stats(wide: DataFrame, signals: Sequence[str], exact: bool) -> DataFrame:
+    long = wide.select(*signals).unpivot([], list(signals), "signal", "value")
+    return S.signal_stats(long.withColumn("value", S.finite(F.col("value"))), exact=exact)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """A small intermediate used by several checks: computed once, kept in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 # ------------------------------------------------------------------ assembly
 VALUES = "map<string,double>"
 
@@ -259,6 +272,8 @@ def check_impossible(ctx: Context) -> DataFrame:
 
 def _windows25(ctx: Context) -> DataFrame:
     """Full 25-row windows of each group inside a batch, for signals whose median is far above their spread."""
+    if ctx.windows is not None:
+        return ctx.windows
     long = explode_signals(ctx, ctx.checkable(), ROW_KEYS).join(F.broadcast(ctx.stats.select("signal", "median", "scale")), "signal")
     long = long.filter((F.col("scale") > 0) & (F.abs("median") > 3.0 * F.col("scale")))
     win = F.floor(F.col("pos") / SHIFT_WINDOW).cast("long")
@@ -328,10 +343,10 @@ def _range_flags(ctx: Context) -> DataFrame:
     return d.withColumn("win", win).join(sh, ["batch_id", "grp", "signal", "win"], "left").withColumn("shifted", F.coalesce("shifted", F.lit(0)))
 
 
-def check_plausibility(ctx: Context) -> DataFrame:
+def check_plausibility(ctx: Context, flags: DataFrame | None = None) -> DataFrame:
     """Readings outside the plausible range; stretches touching a unit shift are left to that check."""
     v = F.col("value")
-    d = _range_flags(ctx).filter("below or above")
+    d = (flags if flags is not None else _range_flags(ctx)).filter("below or above")
     excess = F.when(F.col("below"), F.col("lo") - v).otherwise(v - F.col("hi"))
     isl = ordered.islands(d, ["batch_id", "grp", "signal"], aggs={
         "shifted": ("max", F.col("shifted")), "n_below": ("sum", F.col("below").cast("long")), "n_above": ("sum", F.col("above").cast("long")),
@@ -346,10 +361,10 @@ def check_plausibility(ctx: Context) -> DataFrame:
                   values={"n_below": F.col("n_below"), "n_above": F.col("n_above"), "lowest": F.col("lowest"), "highest": F.col("highest"), "worst_excess": F.col("excess")})
 
 
-def check_out_of_range(ctx: Context) -> DataFrame:
+def check_out_of_range(ctx: Context, flags: DataFrame | None = None) -> DataFrame:
     """More than ``range_sigma`` robust scales from the median, yet plausible."""
     lim = ctx.limits
-    d = _range_flags(ctx).filter((F.col("z") > lim.range_sigma) & (~(F.col("below") | F.col("above")) | (F.col("shifted") == 1)))
+    d = (flags if flags is not None else _range_flags(ctx)).filter((F.col("z") > lim.range_sigma) & (~(F.col("below") | F.col("above")) | (F.col("shifted") == 1)))
     isl = ordered.islands(d, ["batch_id", "grp", "signal"], aggs={"shifted": ("max", F.col("shifted")), "max_z": ("max", F.col("z"))}).filter("shifted = 0")
     t = _sized(summarize(isl, ["batch_id", "signal"], [F.max("max_z").alias("max_z")]), ctx).withColumn("fraction", F.col("n") / F.col("n_rows"))
     ratio = F.col("max_z") / lim.range_sigma
@@ -502,11 +517,12 @@ def frozen_blocks(ctx: Context, runs: DataFrame | None = None) -> DataFrame:
     return common_blocks(r.filter("stuck_m or sat_m"), S.common_mode_k(len(ctx.signals)), max(2, ctx.limits.stuck_min_run // 2))
 
 
-def check_frozen_block(ctx: Context, runs: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+def check_frozen_block(ctx: Context, runs: DataFrame | None = None, duplicates: DataFrame | None = None,
+                       blocks: DataFrame | None = None) -> DataFrame:
     """Rows frozen in several signals at once: one finding per family of blocks."""
     lim, k = ctx.limits, S.common_mode_k(len(ctx.signals))
     r = runs if runs is not None else frozen_runs(ctx)
-    blocks = frozen_blocks(ctx, r)
+    blocks = blocks if blocks is not None else frozen_blocks(ctx, r)
     fam = _families(ctx, blocks)
     dup = (duplicates if duplicates is not None else duplicate_flags(ctx)).select("batch_id", "row")
     iv = blocks.select("batch_id", "members", "row_start", "row_end").join(cluster_blocks(blocks), ["batch_id", "members"])
@@ -528,11 +544,11 @@ def check_frozen_block(ctx: Context, runs: DataFrame | None = None, duplicates:
                   values={"n_blocks": F.col("n_events"), "longest_block": F.col("longest"), "signals_per_block": F.col("per_block")})
 
 
-def check_runs(ctx: Context, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+def check_runs(ctx: Context, runs: DataFrame | None = None, blocks: DataFrame | None = None) -> dict[str, DataFrame]:
     """``stuck``, ``saturation`` and ``stale``: what is left of the runs after the common blocks."""
     lim = ctx.limits
     r = runs if runs is not None else frozen_runs(ctx)
-    left = _unexplained(r, frozen_blocks(ctx, r))
+    left = _unexplained(r, blocks if blocks is not None else frozen_blocks(ctx, r))
     by = ["batch_id", "signal"]
     aggs = [F.max("n").alias("longest"), F.max("stuck_thr").alias("thr"), F.max("sat_thr").alias("sthr"), F.max("hold").alias("hold"),
             F.max_by("value", F.struct("n", -F.col("row_start"))).alias("value"),
@@ -678,12 +694,13 @@ def add_passes(checks: DataFrame, ctx: Context) -> DataFrame:
 def run_checks(ctx: Context, pairs: Sequence[tuple[str, str, float]] = (), formulas: Sequence[tuple[str, dict[str, float], float]] = (),
                order: str | None = None, passes: bool = False) -> DataFrame:
     """All checks on all batches."""
-    runs = frozen_runs(ctx)
-    dups = duplicate_flags(ctx)
+    runs, dups, windows = once(frozen_runs(ctx)), once(duplicate_flags(ctx)), once(_windows25(ctx))
+    ctx = replace(ctx, windows=windows, sizes=once(ctx.sizes), period=once(ctx.period) if ctx.period is not None else None)
+    blocks, flags = once(frozen_blocks(ctx, runs)), once(_range_flags(ctx))
     change, qblock = check_quantization(ctx, runs)
-    parts = [check_missing(ctx), check_empty_rows(ctx), check_missing_block(ctx), check_impossible(ctx), check_plausibility(ctx),
-             check_out_of_range(ctx), check_local_spike(ctx), check_unit_shift(ctx), change, qblock,
-             check_frozen_block(ctx, runs, dups), *check_runs(ctx, runs).values(), check_duplicate_rows(ctx, dups)]
+    parts = [check_missing(ctx), check_empty_rows(ctx), check_missing_block(ctx), check_impossible(ctx), check_plausibility(ctx, flags),
+             check_out_of_range(ctx, flags), check_local_spike(ctx), check_unit_shift(ctx), change, qblock,
+             check_frozen_block(ctx, runs, dups, blocks), *check_runs(ctx, runs, blocks).values(), check_duplicate_rows(ctx, dups)]
     if order:
         parts.append(check_duplicate_key(ctx, order, dups))
     if ctx.time:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustwatch.functions import stats as S
 from trustwatch.operators import quality as Q
 from trustwatch.plans import views as V
 from trustwatch.plans.registry import query
@@ -224,8 +225,13 @@ def check_sql(name: str, **kw) -> str:
 
 
 # ------------------------------------------------------------------ queries
+def dirty_stats(spark, sf):
+    """Statistics of the table: a written artifact, as every check needs them."""
+    return V.staged(spark, sf, "dirty_stats", lambda sp, d: Q.table_stats(V.dirty_wide(sp, d), V.SIGNALS, S.use_exact(V.dirty_wide(sp, d), None)), ["signal"])
+
+
 def context(spark, sf, time="ts_reg", **kw) -> Q.Context:
-    return Q.build_context(V.dirty_wide(spark, sf), V.SIGNALS, time=time, **kw)
+    return Q.build_context(V.dirty_wide(spark, sf), V.SIGNALS, time=time, stats=dirty_stats(spark, sf), **kw)
 
 
 @query("f1_missing", check_sql("missing"))
