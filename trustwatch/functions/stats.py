@@ -81,3 +81,24 @@ def median_of(values: Sequence[Column]) -> Column:
 def common_mode_k(n_signals: int) -> int:
     """Signals that must share a finding: 3, or a tenth of the signals when fewer, never below 2."""
     return min(3, max(2, -(-n_signals // 10)))
+
+
+def average_ranks(long: DataFrame, by: Sequence[str], value: str = "value", buckets: int = 8192) -> DataFrame:
+    """(by, value) -> average rank and number of ties. Values are counted first; the running count is taken in two
+    levels (equal-width buckets of the value range), so neither a large signal nor a heavy tie needs one task."""
+    from pyspark.sql import Window
+
+    c = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    lim = c.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    if by:
+        c = c.join(lim, list(by))
+    else:
+        c = c.crossJoin(F.broadcast(lim))
+    b = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0).cast("long")
+    c = c.withColumn("_b", b).drop("_lo", "_hi")
+    tops = c.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = c.join(tops, [*by, "_b"])
+    return d.select(*by, value, (F.col("_o") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias("rank"), F.col("_c").alias("ties"))

@@ -292,3 +292,28 @@ def first_k(df: DataFrame, keys: Iterable[str], order: Sequence[Column | str], k
     """The first k rows of each key; the rank filter lets Spark cut each map task to k rows before the shuffle."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def segments(df: DataFrame, keys: Sequence[str], start, pos: str = "pos", row: str = "row", before: int = 1,
+             aggs: dict[str, tuple[str, Column]] | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """Cuts each series where ``start(w)`` is true (it may look ``before`` rows back) into consecutive segments.
+
+    Every row belongs to exactly one segment. Only fragments at chunk edges are merged in a second step.
+    """
+    c_rows = chunk_rows or CHUNK_ROWS
+    aggs = aggs or {}
+    d = with_windows(df, keys, lambda w: {"_start": F.coalesce(start(w).cast("int"), F.lit(0))}, before=before, pos=pos,
+                     chunk_rows=chunk_rows, keep_chunk=True)
+    d = d.withColumn("_sid", F.sum("_start").over(chunk_window(keys, pos).rowsBetween(Window.unboundedPreceding, 0)))
+    frag = d.groupBy(*keys, CHUNK, "_sid").agg(
+        F.min(pos).alias("pos_start"), F.max(pos).alias("pos_end"), F.min(row).alias("row_start"), F.max(row).alias("row_end"),
+        F.count(F.lit(1)).alias("n"), F.max("_start").alias("_st"), *[_MERGE[fn](c).alias(name) for name, (fn, c) in aggs.items()])
+    edge = (F.pmod("pos_start", F.lit(c_rows)) == 0) | (F.pmod("pos_end", F.lit(c_rows)) == c_rows - 1)
+    frag = frag.withColumn("_lane", F.when(edge, F.lit(-1).cast("long")).otherwise(F.col(CHUNK)))
+    w = Window.partitionBy(*keys, "_lane").orderBy("pos_start")
+    joined = (F.lag("pos_end").over(w) == F.col("pos_start") - 1) & (F.col("_st") == 0)
+    frag = frag.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_id", F.sum("_new").over(w))
+    return (frag.groupBy(*keys, "_lane", "_id")
+            .agg(F.min("pos_start").alias("pos_start"), F.max("pos_end").alias("pos_end"), F.min("row_start").alias("row_start"),
+                 F.max("row_end").alias("row_end"), F.sum("n").alias("n"), *[_MERGE[fn](name).alias(name) for name, (fn, _) in aggs.items()])
+            .drop("_lane", "_id"))
