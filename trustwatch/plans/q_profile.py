@@ -135,13 +135,18 @@ edges AS (SELECT CASE WHEN lag < 0 THEN b ELSE a END AS a, CASE WHEN lag < 0 THE
 XC = LAGV + ", xc AS (" + xcorr_sql("s01", "s06", "d1", "d6", 6) + " UNION ALL " + xcorr_sql("s02", "s06", "d2", "d6", 6) + " UNION ALL " + xcorr_sql("s01", "s02", "d1", "d2", 6) + ")" + XTAIL
 
 
-def edges(spark, sf):
+def find_edges(spark, sf):
     return P.lagged_xcorr(lag_view(spark, sf), [("s01", "s06"), ("s02", "s06"), ("s01", "s02")], 6)
 
 
+def edges(spark, sf):
+    """The written relation graph."""
+    return V.staged(spark, sf, "edges", find_edges, ["a", "b"])
+
+
 @query("e10_lagged_xcorr", XC + " SELECT a, b, lag, round(r_at_lag, 4) AS r_at_lag, round(r, 4) AS r FROM edges")
 def e10(spark, sf):
-    return rd(edges(spark, sf), ["a", "b", "lag"], ["r_at_lag", "r"])
+    return rd(find_edges(spark, sf), ["a", "b", "lag"], ["r_at_lag", "r"])
 
 
 @query("e11_masked_xcorr", LAGV + ", xc AS (" + xcorr_sql("s01", "s06", "d1", "d6", 4, "d1 <> 0") + ")" + XTAIL + " SELECT a, b, lag, round(r_at_lag, 4) AS r_at_lag FROM edges")
