@@ -173,7 +173,7 @@ _MODEL: dict[str, J.Model] = {}
 def final_model(spark, sf) -> J.Model:
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _MODEL:
-        _MODEL[key] = J.fit_model(V.sensor_wide(spark, sf), V.SIGNALS)
+        _MODEL[key] = J.fit_model(V.sensor_wide(spark, sf), V.SIGNALS, trim=False)
     return _MODEL[key]
 
 
