@@ -40,7 +40,7 @@ def test_ensemble_flags_the_shift(plant):
     assert sc[(sc.grp == "5") & (sc.pos >= 205)].score.mean() > sc[sc.grp != "5"].score.mean()
 
 
-def test_planted_defects(spark, sf):
+def test_planted_defects(spark, sf="/root/testdata/sf0.01"):
     checks = quality.run_checks(quality.build_context(V.dirty_wide(spark, sf), V.SIGNALS, time="ts_reg"), [("s01", "s05", 1.0)], [("s05", {"s01": 1.0}, 1000.0)]).toPandas()
     n = V.table(spark, sf, "lineitem").count()
     got = {(c.check_type, "+".join(c.signals)): c for c in checks.itertuples()}
