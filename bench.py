@@ -10,8 +10,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["a1_read_delimited", "c1_column_kinds_orders", "e1_global_stats", "e4_dynamics", "e9_corr_matrix", "f6_plausibility", "f8_local_spike", "f11_stuck", "f15_duplicate_rows", "f17_gap",
-            "g10_active_rule_episodes", "h2_trust_verdicts", "i1_baseline_modes", "i9_best_split", "j1_features", "j3_robust_z", "j5_ewma", "j6_cusum", "k2_segments", "k8_onsets", "l1_auroc", "m4_judge", "n2_verify_chain", "n10_search"]
+HEADLINE = ["a1_read_delimited", "c1_column_kinds_orders", "e1_global_stats", "e9_corr_matrix", "f6_plausibility", "f11_stuck", "f15_duplicate_rows", "f17_gap",
+            "g10_active_rule_episodes", "i9_best_split", "j3_robust_z", "j6_cusum", "k2_segments", "k8_onsets", "l1_auroc", "m4_judge", "n2_verify_chain", "n10_search"]
 
 
 def main() -> None:
@@ -32,6 +32,7 @@ def main() -> None:
         t = time.time()
         fn()
         times[name] = round(time.time() - t, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
 
     timed("ingest_sensor_wide", lambda: V.sensor_wide(spark, sf))
     timed("ingest_dirty_wide", lambda: V.dirty_wide(spark, sf))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 2_000_000  # above this many rows quantiles come from a mergeable sketch
+EXACT_ROWS = 2_000_000  # above this many readings quantiles come from a mergeable sketch
 SKETCH_ACCURACY = 10_000
 
 
@@ -18,9 +18,9 @@ def quantile(col: Column | str, p: float, exact: bool = True) -> Column:
     return F.percentile_approx(c, F.lit(p), F.lit(SKETCH_ACCURACY)).cast("double")
 
 
-def use_exact(df: DataFrame, exact: bool | None) -> bool:
+def use_exact(df: DataFrame, exact: bool | None = None, columns: int = 1) -> bool:
     """Exact quantiles keep every distinct value of a signal in one buffer; a count decides when that stops."""
-    return exact if exact is not None else df.count() <= EXACT_ROWS
+    return exact if exact is not None else df.count() * columns <= EXACT_ROWS
 
 
 def finite(c: Column) -> Column:

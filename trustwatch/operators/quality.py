@@ -74,7 +74,7 @@ def build_context(wide: DataFrame, signals: Sequence[str], time: str | None = No
                   rule_limits: DataFrame | None = None, stats: DataFrame | None = None) -> Context:
     """``stats``: written statistics of the table; computed and checkpointed here when missing."""
     lim = limits or Limits()
-    ex = S.use_exact(wide, exact)
+    ex = S.use_exact(wide, exact, len(signals))
     st = stats if stats is not None else once(table_stats(wide, signals, ex))
     sizes = wide.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
     period = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustwatch.functions import stats as S
 from trustwatch.operators import baseline as B
 from trustwatch.plans import views as V
 from trustwatch.plans.q_detect import sc
@@ -15,7 +16,7 @@ W = "WITH " + V.SENSOR_WIDE
 
 
 def z(spark, sf):
-    return B.zscores(V.sensor_wide(spark, sf), V.SIGNALS)
+    return B.zscores(V.sensor_wide(spark, sf), V.SIGNALS, S.use_exact(V.sensor_wide(spark, sf), None, len(V.SIGNALS)))
 
 
 ZL = WL + ", " + sc("rs", "wl", "signal") + ", zl AS (SELECT grp, row, pos, wl.signal, least(10.0, greatest(-10.0, coalesce((value - med) / scale, 0.0))) AS z FROM wl JOIN rs USING (signal))"

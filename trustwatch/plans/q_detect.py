@@ -14,10 +14,14 @@ from trustwatch.plans.registry import query
 _SPEC: dict[str, J.Spec] = {}
 
 
+def exact(spark, sf) -> bool:
+    return S.use_exact(V.sensor_wide(spark, sf), None, len(V.SIGNALS) * len(J.BLOCKS))
+
+
 def spec(spark, sf) -> J.Spec:
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _SPEC:
-        _SPEC[key] = J.fit_features(V.sensor_wide(spark, sf), V.SIGNALS, 20)
+        _SPEC[key] = J.fit_features(V.sensor_wide(spark, sf), V.SIGNALS, 20, exact=exact(spark, sf))
     return _SPEC[key]
 
 
@@ -55,7 +59,7 @@ def ext(name: str, src: str, floor: float) -> str:
 
 @query("j2_feature_extreme", FL + ", " + ext("ex", "fl", 2.0) + " SELECT feature, round(q, 4) AS extreme FROM ex")
 def j2(spark, sf):
-    return J.feature_extreme(feats(spark, sf), spec(spark, sf).names(), 2.0).select("feature", F.round("extreme", 4).alias("extreme"))
+    return J.feature_extreme(feats(spark, sf), spec(spark, sf).names(), 2.0, exact(spark, sf)).select("feature", F.round("extreme", 4).alias("extreme"))
 
 
 LIN = FL + ", vr AS (SELECT * FROM fl WHERE feature LIKE 'value%' OR feature LIKE 'rstd%'), " + sc("ls", "vr", "feature", floor="0.25")
@@ -74,42 +78,42 @@ def score4(d):
 def j3(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_robust_z(f, J.fit_robust_z(f, s), s))
+    return score4(J.score_robust_z(f, J.fit_robust_z(f, s, exact=exact(spark, sf)), s))
 
 
 @query("j4_pca")
 def j4(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_pca(f, J.fit_pca(f, s), s))
+    return score4(J.score_pca(f, J.fit_pca(f, s, exact=exact(spark, sf)), s))
 
 
 @query("j5_ewma", EW + " SELECT row, round(max(abs(value / q)), 4) AS score FROM ew JOIN eq USING (feature) GROUP BY row")
 def j5(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_ewma(f, J.fit_ewma(f, s), s))
+    return score4(J.score_ewma(f, J.fit_ewma(f, s, exact=exact(spark, sf)), s))
 
 
 @query("j6_cusum", CU + " SELECT row, round(max(abs(value / q)), 4) AS score FROM cs JOIN cq USING (feature) GROUP BY row")
 def j6(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_cusum(f, J.fit_cusum(f, s), s))
+    return score4(J.score_cusum(f, J.fit_cusum(f, s, exact=exact(spark, sf)), s))
 
 
 @query("j7_corr_break")
 def j7(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_corr_break(f, J.fit_corr_break(f, s), s))
+    return score4(J.score_corr_break(f, J.fit_corr_break(f, s, exact=exact(spark, sf)), s))
 
 
 @query("j8_resid_spread")
 def j8(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_resid_spread(f, J.fit_corr_break(f, s), s))
+    return score4(J.score_resid_spread(f, J.fit_corr_break(f, s, exact=exact(spark, sf)), s))
 
 
 @query("j9_isolation_forest")
@@ -153,7 +157,7 @@ THR = """greatest(least(quantile_cont(score, 0.995), greatest(quantile_cont(scor
 def j12(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return S.robust_threshold([], J.score_robust_z(f, J.fit_robust_z(f, s), s), "score").select("n", F.round("threshold", 4).alias("threshold"))
+    return S.robust_threshold([], J.score_robust_z(f, J.fit_robust_z(f, s, exact=exact(spark, sf)), s), "score").select("n", F.round("threshold", 4).alias("threshold"))
 
 
 @query("j14_ensemble", "WITH " + RZ[5:] + ", " + EW[len(LIN) + 2:].replace("mz AS", "mz AS", 1) + ", " + CU[len(MZ) + 2:] + """,
@@ -163,7 +167,7 @@ SELECT row, round(0.7 * greatest(x, y, z) + 0.3 * (x + y + z) / 3.0, 4) AS score
 def j14(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    m = J.Model(s, {n: J.DETECTORS[n][0](f, s) for n in ("robust_z", "ewma", "cusum")}, {})
+    m = J.Model(s, {n: J.DETECTORS[n][0](f, s, exact=exact(spark, sf)) for n in ("robust_z", "ewma", "cusum")}, {})
     return score4(J.score_detectors(f, m))
 
 
@@ -173,7 +177,7 @@ _MODEL: dict[str, J.Model] = {}
 def final_model(spark, sf) -> J.Model:
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _MODEL:
-        _MODEL[key] = J.fit_model(V.sensor_wide(spark, sf), V.SIGNALS, trim=False)
+        _MODEL[key] = J.fit_model(V.sensor_wide(spark, sf), V.SIGNALS, exact=exact(spark, sf), trim=False)
     return _MODEL[key]
 
 
@@ -189,7 +193,7 @@ def fold_models(spark, sf, k=2):
     fl = V.staged(spark, sf, "folds", lambda s, d: folds(s, d, k), ["grp"])
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _FOLDS:
-        _FOLDS[key] = J.fit_folds(V.sensor_wide(spark, sf), fl, k, V.SIGNALS, detectors=("robust_z", "ewma"), trim=False)
+        _FOLDS[key] = J.fit_folds(V.sensor_wide(spark, sf), fl, k, V.SIGNALS, detectors=("robust_z", "ewma"), exact=exact(spark, sf), trim=False)
     return fl, _FOLDS[key]
 
 
