@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["a1_read_delimited", "c1_column_kinds_orders", "e1_global_stats", "e9_corr_matrix", "f6_plausibility", "f11_stuck", "f15_duplicate_rows", "f17_gap",
-            "g10_active_rule_episodes", "i9_best_split", "j3_robust_z", "j6_cusum", "k2_segments", "k8_onsets", "l1_auroc", "m4_judge", "n2_verify_chain", "n10_search"]
+            "g10_active_rule_episodes", "i9_best_split", "j3_robust_z", "k2_segments", "k8_onsets", "l1_auroc", "m4_judge", "n2_verify_chain", "n10_search"]
 
 
 def main() -> None:

@@ -18,6 +18,15 @@ def quantile(col: Column | str, p: float, exact: bool = True) -> Column:
     return F.percentile_approx(c, F.lit(p), F.lit(SKETCH_ACCURACY)).cast("double")
 
 
+def quantiles(col: Column | str, ps: Sequence[float], exact: bool = True) -> Column:
+    """Several quantiles from one buffer, as an array in the order of ``ps``."""
+    c = F.col(col) if isinstance(col, str) else col
+    arr = F.array(*[F.lit(float(p)) for p in ps])
+    if exact:
+        return F.percentile(c, arr)
+    return F.percentile_approx(c, arr, F.lit(SKETCH_ACCURACY)).cast("array<double>")
+
+
 def use_exact(df: DataFrame, exact: bool | None = None, columns: int = 1) -> bool:
     """Exact quantiles keep every distinct value of a signal in one buffer; a count decides when that stops."""
     return exact if exact is not None else df.count() * columns <= EXACT_ROWS
@@ -41,7 +50,8 @@ def signal_stats(long: DataFrame, by: Sequence[str] = ("signal",), value: str =
     first = long.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        *[quantile(v, p, exact).alias(a) for p, a in ((0.01, "q01"), (0.05, "q05"), (0.25, "q25"), (0.5, "median"), (0.75, "q75"), (0.95, "q95"), (0.99, "q99"))])
+        quantiles(v, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), exact).alias("_q"))
+    first = first.select("*", *[F.get("_q", F.lit(i)).alias(a) for i, a in enumerate(("q01", "q05", "q25", "median", "q75", "q95", "q99"))]).drop("_q")
     mad = (long.filter(v.isNotNull()).join(F.broadcast(first.select(*by, "median")), list(by)).groupBy(*by)
            .agg(quantile(F.abs(v - F.col("median")), 0.5, exact).alias("mad")))
     s = first.join(mad, list(by), "left")
@@ -51,8 +61,8 @@ def signal_stats(long: DataFrame, by: Sequence[str] = ("signal",), value: str =
 def robust_threshold(by: Sequence[str], df: DataFrame, score: str, q: float = 0.995, margin: float = 1.1, exact: bool = True) -> DataFrame:
     """min(q, max(q75 + 3 IQR, q90)) times the margin, at least 1.5 medians."""
     s = F.col(score)
-    a = df.groupBy(*by).agg(quantile(s, q, exact).alias("_q"), quantile(s, 0.9, exact).alias("_q90"), quantile(s, 0.75, exact).alias("_q75"),
-                            quantile(s, 0.25, exact).alias("_q25"), quantile(s, 0.5, exact).alias("_q50"), F.count(s).alias("n"))
+    a = df.groupBy(*by).agg(quantiles(s, (q, 0.9, 0.75, 0.25, 0.5), exact).alias("_a"), F.count(s).alias("n"))
+    a = a.select("*", *[F.get("_a", F.lit(i)).alias(x) for i, x in enumerate(("_q", "_q90", "_q75", "_q25", "_q50"))])
     fence = F.greatest(F.col("_q75") + 3 * (F.col("_q75") - F.col("_q25")), F.col("_q90"))
     thr = F.greatest(F.least(F.col("_q"), fence) * margin, F.lit(1.5) * F.col("_q50"), F.lit(1e-6))
     return a.select(*by, "n", thr.alias("threshold"))

@@ -51,7 +51,8 @@ def scale_table(wide: DataFrame, cols: Sequence[str], exact: bool = True) -> Dat
     long = wide.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "value").filter("value is not null")
     a = long.groupBy("feature").agg(S.quantile("value", 0.5, exact).alias("med"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     dev = F.abs(F.col("value") - F.col("med"))
-    b = long.join(F.broadcast(a.select("feature", "med")), "feature").groupBy("feature").agg(S.quantile(dev, 0.5, exact).alias("mad"), S.quantile(dev, 0.99, exact).alias("q99"))
+    b = long.join(F.broadcast(a.select("feature", "med")), "feature").groupBy("feature").agg(S.quantiles(dev, (0.5, 0.99), exact).alias("_q"))
+    b = b.select("feature", F.get("_q", F.lit(0)).alias("mad"), F.get("_q", F.lit(1)).alias("q99"))
     return a.join(b, "feature").select("feature", "med", "mean", F.greatest(1.4826 * F.col("mad"), 0.5 * F.col("std"), F.col("q99") / 5.0).alias("scale"))
 
 
@@ -108,7 +109,8 @@ def features(wide: DataFrame, spec: Spec, keep: Sequence[str] = ()) -> DataFrame
 def feature_extreme(feats: DataFrame, cols: Sequence[str], floor: float, exact: bool = True) -> DataFrame:
     """Normal extreme of |feature|: max(min(q995, max(q75 + 3 IQR, q90)), 2 medians, floor)."""
     long = feats.select(*cols).unpivot([], list(cols), "feature", "value").withColumn("a", F.abs("value"))
-    q = long.groupBy("feature").agg(*[S.quantile("a", p, exact).alias(n) for p, n in ((0.995, "q995"), (0.9, "q90"), (0.75, "q75"), (0.25, "q25"), (0.5, "q50"))])
+    q = long.groupBy("feature").agg(S.quantiles("a", (0.995, 0.9, 0.75, 0.25, 0.5), exact).alias("_q"))
+    q = q.select("feature", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q995", "q90", "q75", "q25", "q50"))])
     fence = F.greatest(F.col("q75") + 3 * (F.col("q75") - F.col("q25")), F.col("q90"))
     return q.select("feature", F.greatest(F.least(F.col("q995"), fence), 2 * F.col("q50"), F.lit(float(floor))).alias("extreme"))
 
