@@ -8,22 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustwatch.llm.jaccard import jaccard_components
+from trustwatch.llm.license_scan import license_scan
 from trustwatch.llm.outliers import robust_quality
 from trustwatch.llm.packing import pack
+from trustwatch.llm.secret_scan import BASE, scan
 from trustwatch.llm.stage import table
+from trustwatch.llm.toxicity import toxicity
+from trustwatch.llm.weak_labels import weak_quality
 from trustwatch.llm.winnow import contaminated
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    labels = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))
+    more = F.array_sort(F.array_distinct(F.concat(F.transform("places", lambda x: x["label"]), F.transform(F.filter("blocks", lambda x: x["containment"] == F.array_max(F.transform("blocks", lambda y: y["containment"]))), lambda x: x["label"]))))
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0)))
+    return got.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(F.transform("places", lambda x: x["start"])).alias("first_word"), F.array_max(F.transform("places", lambda x: x["start"])).alias("last_word"),
+                      F.concat_ws(",", labels).alias("base_labels"), F.concat_ws(",", more).alias("labels"), score.alias("score"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    line = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = robust_quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, pct=90)
 
@@ -32,5 +61,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontaminate, op7_quality_rules, op9_jaccard_join, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_decontaminate, op6_secret_scan, op7_quality_rules, op8_quality_classifier, op9_jaccard_join, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}

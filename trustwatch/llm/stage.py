@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone (extra columns never travel); a null text is empty. Rows without a doc_id are left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+def id_text(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and the columns named, alone (extra columns never travel); a null text is empty. Rows without a doc_id are left out."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more).filter("doc_id IS NOT NULL")
 
 
 def partitions(df: DataFrame) -> int:
