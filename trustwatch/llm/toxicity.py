@@ -38,7 +38,7 @@ def fit_sample(rows: DataFrame, most: int, bits: int, factors: int, shapes: bool
 
     near = lambda c, n: rows.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id", "target").limit(n)
     sample = written(near("target >= 0.5", most // 2).unionByName(near("target < 0.5", most // 2)), "sample")
-    got = sample.groupBy(F.lit(1)).applyInPandas(run, "model binary").collect()
+    got = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").collect()
     if not got:
         return None
     bias, used, w, v = pickle.loads(bytes(got[0].model))
