@@ -1,16 +1,15 @@
 """Operator 9: exact n-gram Jaccard join in the metric space of shingle sets.
 
 Identical sets form one class and go on as its smallest document. A linked pair shares one of the first
-n - ceil(t * n) + 1 shingles of each set in an order that puts common shingles last, so every such shingle elects a pivot (the
-smallest document that has it) and its holders form the pivot's region: each linked pair meets in at least one region.
-Inside a region the triangle inequality does the rest. First in a coarse metric, the L1 distance of 128-cell shingle counts,
-which never exceeds the size of the symmetric difference; then in the exact Jaccard distance. Members within reach of the pivot
-need no further search; the others are laid out in rings around it (as wide as the link distance, so that links reach only the
-next ring), rings that grow too large are dealt into blocks, and open blocks meet those of their own and the neighbouring rings,
-to which boundary members are replicated. Everything that is reported was compared by whole sets.
-
-At worst (a region of copies none of which links to its pivot) the work inside that region is quadratic, in blocks; memory is
-bounded by two blocks in any case.
+n - ceil(t * n) + 1 shingles of each set in an order that puts expectedly common shingles last, so documents that share none of
+these can be told apart without comparison; what hangs together by them is a region. Each region takes the member that most
+others met as its pivot, and members are laid out in rings by their exact Jaccard distance to it, as wide as the link distance:
+by the triangle inequality a link reaches no further than the next ring, into which boundary members are replicated. Members within
+reach of the pivot are linked and closed; the open ones meet the closed ones and each other in blocks of bounded size. Where
+many stay open, they form a region of their own with a new pivot, and so on. All that is reported was compared by whole sets.
+
+At worst (many documents of one region, none within reach of its pivots) the work inside that region is quadratic, in blocks;
+memory is bounded by two blocks in any case.
 """
 
 from __future__ import annotations
@@ -26,11 +25,12 @@ from trustwatch.llm import text as T
 from trustwatch.llm.groups import components, map_groups
 from trustwatch.llm.stage import id_text, written
 
-CELLS = 1 << 18
+CELLS = 1 << 17
 SLICE = 1 << 12
 HIST = 128
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
+MANY_OPEN = 4096
 U = np.uint64
 
 
@@ -48,56 +48,78 @@ def _shingled(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.nd
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How often shingles of each of CELLS hash cells occur in all documents: a table of fixed size, whatever the corpus."""
+    """How often words (row 0) and shingles (row 1) of each of CELLS hash cells occur in all documents: a table of fixed size, whatever the corpus."""
 
     def count(batches):
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros((2, CELLS), np.int64)
+
+        def add(i, held):
+            if held[i]:
+                total[i] += np.bincount((np.concatenate(held[i]) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                held[i] = []
+
         for b in batches:
-            held, size = [], 0
-            for _, _, s in _shingled(b.column("text"), k):
-                held.append(s)
-                size += len(s)
+            held, size = [[], []], 0
+            for _, w, s in _shingled(b.column("text"), k):
+                held[0].append(w)
+                held[1].append(s)
+                size += len(w)
                 if size > T.BLOCK:
-                    total += np.bincount((np.concatenate(held) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    held, size = [], 0
-            if held:
-                total += np.bincount((np.concatenate(held) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                    add(0, held)
+                    add(1, held)
+                    size = 0
+            add(0, held)
+            add(1, held)
         parts = total.reshape(-1, SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(list(parts), pa.list_(pa.int64()))], ["slice", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "slice int, counts array<long>").select("slice", F.posexplode("counts").alias("pos", "n")).groupBy("slice", "pos").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(count, "slice int, counts array<long>").select("slice", F.posexplode("counts").alias("pos", "n")).filter("n > 0").groupBy("slice", "pos").agg(F.sum("n").alias("n"))
     got = rows.toPandas()
-    out = np.zeros(CELLS, np.int64)
+    out = np.zeros(2 * CELLS, np.int64)
     out[got["slice"].to_numpy() * SLICE + got["pos"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return out.reshape(2, CELLS)
 
 
 def _needed(n, pct: int):
     return -(-pct * n // 100)
 
 
+def _expected(words: np.ndarray, k: int, n: int, freq: np.ndarray) -> np.ndarray:
+    """Expected occurrences of each shingle if words were independent; one of fewer than k words counts as rare."""
+    if len(words) < k:
+        return np.zeros(n)
+    share = np.maximum(freq[0][(words & U(CELLS - 1)).astype(np.int64)], 1) / max(freq[0].sum(), 1)
+    out = np.full(n, float(max(freq[0].sum(), 1)))
+    for i in range(k):
+        out *= share[i:i + n]
+    return out
+
+
 def profile(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n (set size), a 128-bit digest of the set, its counts over HIST hash cells, and its prefix in common-last order."""
+    """doc_id, n (set size), a 128-bit digest of the set, and its prefix in common-last order.
+
+    Common is what the words' frequencies or the shingle's own cell (above the cells' mean) let expect; both cover all documents.
+    """
     docs = id_text(docs)
     freq = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def run(batches):
-        common = freq.value
+        f = freq.value
+        usual = 2 * f[1].mean()
         for b in batches:
-            ids, sizes, d1, d2, hist, pre = b.column("doc_id"), [], [], [], [], []
-            for _, _, s in _shingled(b.column("text"), k):
-                s = np.unique(s)
+            ids, sizes, d1, d2, pre = b.column("doc_id"), [], [], [], []
+            for _, w, s in _shingled(b.column("text"), k):
+                often = _expected(w, k, len(s), f)
+                s, first = np.unique(s, return_index=True)
                 n = len(s)
                 sizes.append(n)
                 d1.append(int(T.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(T.mix(s + U(0x5851F42D4C957F2D))).view(np.int64)) if n else 0)
-                hist.append(np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=HIST), 65535).astype(np.uint16).tobytes())
-                order = np.argsort(common[(s & U(CELLS - 1)).astype(np.int64)], kind="stable")
-                pre.append(s[order[:n - _needed(n, pct) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(hist, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
-                                             ["doc_id", "n", "d1", "d2", "hist", "prefix"])
+                often = np.maximum(often[first], np.maximum(f[1][(s & U(CELLS - 1)).astype(np.int64)] - usual, 0))
+                pre.append(s[np.argsort(often, kind="stable")[:n - _needed(n, pct) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hist binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -109,20 +131,19 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Rows (task, side, ...) of the block pairs in which open members of a region can find partners.
+    """Rows (task, side, open, id) of the block pairs in which open members of a region can find partners.
 
-    members: region, ring, open, id, weight and payload. Blocks of one (region, ring, open) come from a hash of the id.
+    members: region, ring, open, last (open ones meet each other here), id, weight. Blocks of one (region, ring, open) come from a hash of the id.
     """
-    payload = [c for c in members.columns if c not in ("region", "ring", "open", "weight")]
-    size = members.groupBy("region", "ring", "open").agg(F.ceil(F.greatest(F.sum("weight") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    size = members.groupBy("region", "ring", "open", "last").agg(F.ceil(F.greatest(F.sum("weight") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     a = size.filter("open").select("region", F.col("ring").alias("ring_a"), F.col("blocks").alias("blocks_a"), F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
-    pairs = a.join(size, ["region", "ring"]).filter("NOT open OR ring >= ring_a") \
+    pairs = a.join(size, ["region", "ring"]).filter("NOT open OR last AND ring >= ring_a") \
         .withColumn("i", F.explode(F.expr("sequence(0, blocks_a - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("NOT (open AND ring = ring_a) OR j >= i") \
         .select("region", "ring_a", "i", "ring", "open", "j", F.xxhash64("region", "ring_a", "i", "ring", "open", "j").alias("task"))
-    placed = members.join(size, ["region", "ring", "open"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = members.drop("last").join(size.drop("last"), ["region", "ring", "open"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = pairs.select("task", "region", F.col("ring_a").alias("ring"), F.lit(True).alias("open"), F.col("i").alias("block"), F.lit(0).alias("side"))
     right = pairs.select("task", "region", "ring", "open", F.col("j").alias("block"), F.lit(1).alias("side"))
-    return placed.join(left.unionByName(right), ["region", "ring", "open", "block"]).select("task", "side", "region", "open", *payload)
+    return placed.join(left.unionByName(right), ["region", "ring", "open", "block"]).select("task", "side", "open", "id")
 
 
 def _l1_near(hist: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarray, pct: int) -> np.ndarray:
@@ -133,25 +154,6 @@ def _l1_near(hist: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarray,
     return others[apart * (100 + pct) <= (100 - pct) * (n + sizes[others])]
 
 
-def _reachable(rows: DataFrame, pct: int) -> DataFrame:
-    """(region, id) of the members that may have a partner in their region, by the coarse metric."""
-
-    def fn(t: pa.Table, bounds: np.ndarray):
-        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint16).reshape(-1, HIST).astype(np.int32)
-        n, ids, side, region = (t.column(c).to_numpy() for c in ("n", "id", "side", "region"))
-        hit = np.zeros(len(ids), bool)
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            left, right = (lo + np.flatnonzero(side[lo:hi] == x) for x in (0, 1))
-            for i in left:
-                near = _l1_near(hist, n, i, right, pct)
-                near = near[ids[near] != ids[i]]
-                if len(near):
-                    hit[i] = hit[near] = True
-        return pa.RecordBatch.from_arrays([pa.array(region[hit]), pa.array(ids[hit])], ["region", "id"])
-
-    return map_groups(rows.select("task", "side", "region", "id", "n", "hist"), "task", fn, "region long, id long").distinct()
-
-
 def _set(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint64)
 
@@ -213,34 +215,34 @@ def _to_pivot(rows: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, prof: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
     """(classes, links): doc_id, n and rep of each document; links (a, b) between representatives that connect whatever is linked."""
-    classes = written(prof.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = prof.join(classes.filter("copies > 1").select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").filter("n > 0 AND (rep IS NULL OR rep = doc_id)").select("doc_id", "n", "hist", "prefix")
+    classes = written(prof.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
+    copies = written(prof.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep"), "copies")
+    of = prof.select("doc_id", "n").join(copies.distinct(), "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    reps = prof.filter("n > 0").join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     postings = reps.select("doc_id", F.explode("prefix").alias("h"))
-    elected = postings.groupBy("h").agg(F.min("doc_id").alias("region"), F.count("*").alias("holders")).filter("holders > 1").select("h", "region")
-    regions = written(postings.join(elected, "h").select("region", F.col("doc_id").alias("id")).distinct(), "regions")
-    small = prof.select("doc_id", "n", "hist")
-    members = regions.join(small.withColumnRenamed("doc_id", "id"), "id").join(small.select(F.col("doc_id").alias("region"), F.col("n").alias("n_p"), F.col("hist").alias("hist_p")), "region")
-
-    def coarse(batches):
-        for b in batches:
-            h, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, HIST).astype(np.int32) for c in ("hist", "hist_p"))
-            n, m = b.column("n").to_numpy(), b.column("n_p").to_numpy()
-            far = (np.abs(h - p).sum(1) * (100 + pct) > (100 - pct) * (n + m)) | (100 * np.minimum(n, m) < pct * np.maximum(n, m))
-            ring = np.floor(np.log(n) / np.log(100 / pct)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("region"), pa.array(ring), pa.array(far), b.column("id"), pa.array(np.full(len(n), HIST, np.int64)), b.column("n"), b.column("hist")], ["region", "ring", "open", "id", "weight", "n", "hist"])
-
-    laid = written(members.select("region", "id", "n", "hist", "n_p", "hist_p").mapInArrow(coarse, "region long, ring int, open boolean, id long, weight long, n long, hist binary"), "coarse")
-    reach = laid.filter("NOT open AND id <> region").select("region", "id").unionByName(_reachable(_block_pairs(laid), pct)).distinct()
-    reach = written(reach.unionByName(reach.select("region", F.col("region").alias("id"))).distinct(), "reach")
-    wanted = reach.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(_sets(id_text(docs).join(wanted, "doc_id", "left_semi"), k), "sets")
-    near = _to_pivot(reach.join(sets.withColumnRenamed("doc_id", "id"), "id").join(sets.select(F.col("doc_id").alias("region"), F.col("shingles").alias("pivot_shingles")), "region"))
-    near = written(near.withColumn("open", F.expr(f"100 * both < {pct} * any")).withColumn("ring", F.expr(f"CAST(floor((any - both) * 100 / (any * {100 - pct}D) - 1e-9) AS INT)")), "near")
-    tasks = _block_pairs(near.select("region", "ring", "open", "id", F.col("n").alias("weight")))
-    found = _linked(tasks.join(sets.withColumnRenamed("doc_id", "id"), "id"), pct)
-    links = near.filter("NOT open AND id <> region").select(F.col("region").alias("a"), F.col("id").alias("b")).unionByName(found)
-    of = prof.select("doc_id", "n", "d1", "d2").join(classes.filter("copies > 1"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return of, links
+    shared = postings.groupBy("h").agg(F.min("doc_id").alias("head"), F.count("*").alias("holders")).filter("holders > 1").select("h", "head")
+    met = written(postings.join(shared, "h").filter("doc_id <> head").select("head", "doc_id").distinct(), "met")
+    regions = components(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    sets = written(_sets(id_text(docs).join(regions.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k).withColumnRenamed("doc_id", "id"), "sets")
+    degree = met.groupBy(F.col("head").alias("id")).agg(F.count("*").alias("met"))
+    members = written(regions.withColumnRenamed("component", "region").join(degree, "id", "left").select("region", "id", F.coalesce("met", F.lit(0)).alias("met")), "members")
+    links = None
+    while True:
+        pivots = members.groupBy("region").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot"), F.count("*").alias("size"))
+        placed = members.join(pivots, "region").join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+        near = written(_to_pivot(placed).withColumn("open", F.expr(f"100 * both < {pct} * any")).withColumn("ring", F.expr(f"CAST(floor((any - both) * 100 / (any * {100 - pct}D) - 1e-9) AS INT)")), "near")
+        # a region in which many stay open, though fewer than before, goes on with a new pivot
+        again = near.groupBy("region").agg(F.count("*").alias("all"), F.sum(F.col("open").cast("long")).alias("opened")).select("region", (~F.expr(f"opened > {MANY_OPEN} AND opened < 0.95 * all")).alias("last"))
+        near = near.join(again, "region")
+        tasks = _block_pairs(near.select("region", "ring", "open", "last", "id", F.col("n").alias("weight")))
+        found = _linked(tasks.join(sets, "id"), pct)
+        now = near.filter("NOT open").join(pivots.select("region", "pivot"), "region").filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(found)
+        now = written(now, "found")
+        links = now if links is None else links.unionByName(now)
+        rest = near.filter("open AND NOT last").select("region", "id")
+        members = written(rest.join(members.select("id", "met"), "id").select("region", "id", "met"), "members")
+        if members.isEmpty():
+            return of, links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
