@@ -1,8 +1,9 @@
 """Operator 9: exact n-gram Jaccard join in the metric space of shingle sets.
 
-Identical sets form one class and go on as its smallest document. A linked pair shares one of the first
-n - ceil(t * n) + 1 shingles of each set in an order that puts expectedly common shingles last, so documents that share none of
-these can be told apart without comparison; what hangs together by them is a region. Each region takes the member that most
+Identical sets form one class and go on as its smallest document. Of n shingles, p = n - ceil(t * n) + 1 can't all be foreign to
+a linked set. Each document emits its first q >= p shingles in an order that puts expectedly common ones last; linked sets have at
+least q - p + 1 of these in common, so the p of them that the fewest documents emitted (counted exactly) still hold a common one.
+A document with p shingles of its own is alone; what hangs together by the others is a region. Each region takes the member that most
 others met as its pivot, and members are laid out in rings by their exact Jaccard distance to it, as wide as the link distance:
 by the triangle inequality a link reaches no further than the next ring, into which boundary members are replicated. Members within
 reach of the pivot are linked and closed; the open ones meet the closed ones and each other in blocks of bounded size. Where
@@ -31,6 +32,7 @@ HIST = 128
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
 MANY_OPEN = 4096
+RARE = 0.05
 U = np.uint64
 
 
@@ -48,36 +50,22 @@ def _shingled(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.nd
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How often words (row 0) and shingles (row 1) of each of CELLS hash cells occur in all documents: a table of fixed size, whatever the corpus."""
+    """How often words of each of CELLS hash cells occur in all documents: a table of fixed size, whatever the corpus."""
 
     def count(batches):
-        total = np.zeros((2, CELLS), np.int64)
-
-        def add(i, held):
-            if held[i]:
-                total[i] += np.bincount((np.concatenate(held[i]) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                held[i] = []
-
+        total = np.zeros(CELLS, np.int64)
         for b in batches:
-            held, size = [[], []], 0
-            for _, w, s in _shingled(b.column("text"), k):
-                held[0].append(w)
-                held[1].append(s)
-                size += len(w)
-                if size > T.BLOCK:
-                    add(0, held)
-                    add(1, held)
-                    size = 0
-            add(0, held)
-            add(1, held)
+            for _, _, buf, offs in T.slices(b.column("text")):
+                w = T.hash_words(buf, offs, T.SPACE, T.LOWER).hash
+                total += np.bincount((w & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
         parts = total.reshape(-1, SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(list(parts), pa.list_(pa.int64()))], ["slice", "counts"])
 
     rows = docs.select("text").mapInArrow(count, "slice int, counts array<long>").select("slice", F.posexplode("counts").alias("pos", "n")).filter("n > 0").groupBy("slice", "pos").agg(F.sum("n").alias("n"))
     got = rows.toPandas()
-    out = np.zeros(2 * CELLS, np.int64)
+    out = np.zeros(CELLS, np.int64)
     out[got["slice"].to_numpy() * SLICE + got["pos"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(2, CELLS)
+    return out
 
 
 def _needed(n, pct: int):
@@ -85,27 +73,23 @@ def _needed(n, pct: int):
 
 
 def _expected(words: np.ndarray, k: int, n: int, freq: np.ndarray) -> np.ndarray:
-    """Expected occurrences of each shingle if words were independent; one of fewer than k words counts as rare."""
+    """Expected occurrences of each shingle if words were independent (0 below RARE); one of fewer than k words counts as rare."""
     if len(words) < k:
         return np.zeros(n)
-    share = np.maximum(freq[0][(words & U(CELLS - 1)).astype(np.int64)], 1) / max(freq[0].sum(), 1)
-    out = np.full(n, float(max(freq[0].sum(), 1)))
+    share = np.maximum(freq[(words & U(CELLS - 1)).astype(np.int64)], 1) / max(freq.sum(), 1)
+    out = np.full(n, float(max(freq.sum(), 1)))
     for i in range(k):
         out *= share[i:i + n]
-    return out
+    return np.where(out < RARE, 0.0, out)
 
 
 def profile(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n (set size), a 128-bit digest of the set, and its prefix in common-last order.
-
-    Common is what the words' frequencies or the shingle's own cell (above the cells' mean) let expect; both cover all documents.
-    """
+    """doc_id, n (set size), a 128-bit digest of the set, and its first q shingles in common-last order, ties by hash."""
     docs = id_text(docs)
     freq = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def run(batches):
         f = freq.value
-        usual = 2 * f[1].mean()
         for b in batches:
             ids, sizes, d1, d2, pre = b.column("doc_id"), [], [], [], []
             for _, w, s in _shingled(b.column("text"), k):
@@ -115,8 +99,8 @@ def profile(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
                 sizes.append(n)
                 d1.append(int(T.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(T.mix(s + U(0x5851F42D4C957F2D))).view(np.int64)) if n else 0)
-                often = np.maximum(often[first], np.maximum(f[1][(s & U(CELLS - 1)).astype(np.int64)] - usual, 0))
-                pre.append(s[np.argsort(often, kind="stable")[:n - _needed(n, pct) + 1]].view(np.int64))
+                p = n - _needed(n, pct) + 1
+                pre.append(s[np.argsort(often[first], kind="stable")[:max(p + p // 2, 3 * n // 10)]].view(np.int64))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
@@ -219,9 +203,14 @@ def near_links(docs: DataFrame, prof: DataFrame, k: int, pct: int) -> tuple[Data
     copies = written(prof.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep"), "copies")
     of = prof.select("doc_id", "n").join(copies.distinct(), "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     reps = prof.filter("n > 0").join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    postings = reps.select("doc_id", F.explode("prefix").alias("h"))
-    shared = postings.groupBy("h").agg(F.min("doc_id").alias("head"), F.count("*").alias("holders")).filter("holders > 1").select("h", "head")
-    met = written(postings.join(shared, "h").filter("doc_id <> head").select("head", "doc_id").distinct(), "met")
+    postings = reps.select("doc_id", F.expr(f"CAST(size(prefix) - (n - CAST(ceil({pct} * n / 100) AS BIGINT) + 1) AS INT)").alias("spare"), F.explode("prefix").alias("h"))
+    shared = postings.groupBy("h").agg(F.count("*").alias("holders")).filter("holders > 1")
+    # all of a document's shared shingles are at hand (no more than it emitted), rarest first: the last ``spare`` may go
+    kept = postings.join(shared, "h").groupBy("doc_id", "spare").agg(F.array_sort(F.collect_list(F.struct("holders", "h"))).alias("s")).filter("size(s) > spare") \
+        .select("doc_id", F.explode(F.expr("slice(s, 1, size(s) - spare)")).alias("x")).select("doc_id", F.col("x.h").alias("h"))
+    kept = written(kept, "kept")
+    heads = kept.groupBy("h").agg(F.min("doc_id").alias("head"), F.count("*").alias("holders")).filter("holders > 1").select("h", "head")
+    met = written(kept.join(heads, "h").filter("doc_id <> head").select("head", "doc_id").distinct(), "met")
     regions = components(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     sets = written(_sets(id_text(docs).join(regions.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k).withColumnRenamed("doc_id", "id"), "sets")
     degree = met.groupBy(F.col("head").alias("id")).agg(F.count("*").alias("met"))
