@@ -100,7 +100,7 @@ def profile(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
                 d1.append(int(T.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(T.mix(s + U(0x5851F42D4C957F2D))).view(np.int64)) if n else 0)
                 p = n - _needed(n, pct) + 1
-                pre.append(s[np.argsort(often[first], kind="stable")[:max(p + p // 2, 3 * n // 10)]].view(np.int64))
+                pre.append(s[np.argsort(often[first], kind="stable")[:max(p + p // 2, n // 5)]].view(np.int64))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
