@@ -9,7 +9,7 @@ from trustwatch.llm.jaccard import jaccard_components
 from trustwatch.llm.outliers import robust_quality
 from trustwatch.llm.packing import pack
 from trustwatch.llm.secret_scan import redact
-from trustwatch.llm.stage import table, written
+from trustwatch.llm.stage import table, without_ids, written
 from trustwatch.llm.winnow import contaminated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,13 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more the document with the smallest id stays; empty texts stay."""
     gone = jaccard_components(docs, k=5, pct=80).filter("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without_ids(docs.select(*COLUMNS), written(gone, "gone"), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a span of ten words with a benchmark item go."""
     hit = contaminated(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return without_ids(docs.select(*COLUMNS), written(hit, "hit"), "doc_id")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,3 +237,15 @@ def test_weak_labels(spark, docs, nothing, sf):
     known = got.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL"), "doc_id").toPandas()
     good, bad = known[known.quality == 1], known[known.quality == 0]
     assert got.count() == docs.count() and good.kept.mean() > 0.95 and good.score.mean() > bad.score.mean() and weak_labels.weak_quality(nothing).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_rows_by_ids(spark, n):
+    from trustwatch.llm.stage import with_ids, without_ids
+
+    rows = spark.createDataFrame([(i % 90 if i else None, f"t{i}", "x") for i in range(200)], "doc_id long, text string, _other string")
+    ids = spark.createDataFrame([(3 * i,) for i in range(n)] * 2, "doc_id long")
+    wanted = {3 * i for i in range(n)}
+    inside, outside = with_ids(rows, ids, "doc_id").collect(), without_ids(rows, ids, "doc_id").collect()
+    assert sorted(r.text for r in inside) == sorted(r.text for r in rows.collect() if r.doc_id in wanted)
+    assert sorted(r.text for r in outside) == sorted(r.text for r in rows.collect() if r.doc_id not in wanted)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.llm import text as T
 from trustwatch.llm.groups import components, map_groups
-from trustwatch.llm.stage import id_text, written
+from trustwatch.llm.stage import id_text, with_ids, without_ids, written
 
 CELLS = 1 << 17
 SLICE = 1 << 12
@@ -202,7 +202,7 @@ def near_links(docs: DataFrame, prof: DataFrame, k: int, pct: int) -> tuple[Data
     classes = written(prof.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
     copies = written(prof.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep"), "copies")
     of = prof.select("doc_id", "n").join(copies.distinct(), "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = prof.filter("n > 0").join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    reps = without_ids(prof.filter("n > 0").select("doc_id", "n", "prefix"), copies.filter("doc_id <> rep").select("doc_id"), "doc_id")
     postings = reps.select("doc_id", F.expr(f"CAST(size(prefix) - (n - CAST(ceil({pct} * n / 100) AS BIGINT) + 1) AS INT)").alias("spare"), F.explode("prefix").alias("h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("holders")).filter("holders > 1")
     # all of a document's shared shingles are at hand (no more than it emitted), rarest first: the last ``spare`` may go
@@ -212,7 +212,7 @@ def near_links(docs: DataFrame, prof: DataFrame, k: int, pct: int) -> tuple[Data
     heads = kept.groupBy("h").agg(F.min("doc_id").alias("head"), F.count("*").alias("holders")).filter("holders > 1").select("h", "head")
     met = written(kept.join(heads, "h").filter("doc_id <> head").select("head", "doc_id").distinct(), "met")
     regions = components(met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
-    sets = written(_sets(id_text(docs).join(regions.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k).withColumnRenamed("doc_id", "id"), "sets")
+    sets = written(_sets(with_ids(id_text(docs), regions.select(F.col("id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), k).withColumnRenamed("doc_id", "id"), "sets")
     degree = met.groupBy(F.col("head").alias("id")).agg(F.count("*").alias("met"))
     members = written(regions.withColumnRenamed("component", "region").join(degree, "id", "left").select("region", "id", F.coalesce("met", F.lit(0)).alias("met")), "members")
     links = None

@@ -30,3 +30,27 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+BITS = 1 << 25
+SEGMENT = 8 * 4096
+
+
+def _marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_maybe``: false only where ``key`` is surely not in ``ids``. The bits broadcast take 4 MB at most, however many ids there are."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
+    at = lambda d: d.withColumn("_segment", F.floor(bit / SEGMENT)).withColumn("_at", bit % SEGMENT)
+    bits = at(ids.select(key)).repartition("_segment").groupBy("_segment").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.expr("CAST(conv(hex(substring(_bits, CAST(_at div 8 AS INT) + 1, 1)), 16, 10) AS BIGINT)")
+    return at(df).join(F.broadcast(bits), "_segment", "left").withColumn("_maybe", F.coalesce(F.getbit(byte, F.expr("CAST(_at % 8 AS INT)")) == 1, F.lit(False))).select(*df.columns, "_maybe")
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (exact); only rows that may be are shuffled."""
+    return _marked(df, ids, key).filter("_maybe").drop("_maybe").join(ids.select(key), key, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids`` or null (exact); only rows that may be in it are shuffled."""
+    m = _marked(df, ids, key)
+    return m.filter("NOT _maybe").drop("_maybe").unionByName(m.filter("_maybe").drop("_maybe").join(ids.select(key), key, "left_anti"))
