@@ -218,7 +218,8 @@ def near_links(docs: DataFrame, prof: DataFrame, k: int, pct: int) -> tuple[Data
     links = None
     while True:
         pivots = members.groupBy("region").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot"), F.count("*").alias("size"))
-        placed = members.join(pivots, "region").join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+        of_pivots = with_ids(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), pivots, "pivot")
+        placed = members.join(pivots, "region").join(sets, "id").join(of_pivots, "pivot")
         near = written(_to_pivot(placed).withColumn("open", F.expr(f"100 * both < {pct} * any")).withColumn("ring", F.expr(f"CAST(floor((any - both) * 100 / (any * {100 - pct}D) - 1e-9) AS INT)")), "near")
         # a region in which many stay open, though fewer than before, goes on with a new pivot
         again = near.groupBy("region").agg(F.count("*").alias("all"), F.sum(F.col("open").cast("long")).alias("opened")).select("region", (~F.expr(f"opened > {MANY_OPEN} AND opened < 0.95 * all")).alias("last"))
