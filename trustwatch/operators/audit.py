@@ -21,7 +21,8 @@ def _body(fields: Sequence[str], prev: Column) -> Column:
 
 def append_chain(entries: DataFrame, log_id: str, seq: str, fields: Sequence[str], segment_rows: int = 10_000) -> DataFrame:
     """Hash chain per log. A chain is sequential, so a long log is cut into segments of bounded length, each started
-    from a value derived from the log and the segment number; ``seal_segments`` chains the segment heads."""
+    from a value derived from the log and the segment number. ``seal_segments`` gives the segment heads, ``seal_root`` chains those
+    level by level, and ``verify_segments`` finds removed, added and replaced segments."""
     seg = F.floor(F.col(seq) / segment_rows).cast("long")
     d = entries.withColumn("_seg", seg).withColumn("_text", F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
 
@@ -42,10 +43,27 @@ def append_chain(entries: DataFrame, log_id: str, seq: str, fields: Sequence[str
 
 
 def seal_segments(chain: DataFrame, log_id: str, seq: str, segment_rows: int = 10_000) -> DataFrame:
-    """Last hash of each segment: one row per segment to publish or chain further."""
+    """Last hash of each segment: one row per segment, which ``seal_root`` chains."""
     return chain.groupBy(log_id, F.floor(F.col(seq) / segment_rows).cast("long").alias("segment")).agg(F.max_by("hash", seq).alias("head"), F.count(F.lit(1)).alias("n"))
 
 
+def seal_root(heads: DataFrame, log_id: str, segment_rows: int = 10_000) -> DataFrame:
+    """One value per log that depends on every segment head: heads are chained in segments, those heads again, until one is left."""
+    level = heads.select(log_id, F.col("segment").alias("seq"), "head", "n")
+    while True:
+        level = seal_segments(append_chain(level, log_id, "seq", ["seq", "head", "n"], segment_rows), log_id, "seq", segment_rows)
+        level = level.select(log_id, F.col("segment").alias("seq"), "head", "n").checkpoint()
+        if level.filter("seq > 0").isEmpty():
+            return level.select(log_id, F.col("head").alias("root"))
+
+
+def verify_segments(log: DataFrame, sealed: DataFrame, log_id: str, seq: str, segment_rows: int = 10_000) -> DataFrame:
+    """Segments of the log that are not as they were sealed: missing, added or changed."""
+    now = seal_segments(log, log_id, seq, segment_rows).select(log_id, "segment", F.col("head").alias("_head"), F.col("n").alias("_n"))
+    problem = F.when(F.col("_head").isNull(), "missing").when(F.col("head").isNull(), "added").when((F.col("head") != F.col("_head")) | (F.col("n") != F.col("_n")), "changed")
+    return sealed.select(log_id, "segment", "head", "n").join(now, [log_id, "segment"], "full").select(log_id, "segment", problem.alias("problem")).filter("problem is not null")
+
+
 def verify_chain(log: DataFrame, log_id: str, seq: str, fields: Sequence[str], segment_rows: int = 10_000) -> DataFrame:
     """First entry of each log whose link or content does not match; every entry is checked independently."""
     d = ordered.with_windows(log, [log_id], lambda w: {"_p": F.lag("hash").over(w)}, before=1, pos=seq)

@@ -37,6 +37,20 @@ def n2(spark, sf):
     return N.verify_chain(d, "grp", "pos", FIELDS, SEGMENT)
 
 
+@query("n1_log_root")
+def n1_root(spark, sf):
+    return N.seal_root(N.seal_segments(log(spark, sf), "grp", "pos", SEGMENT), "grp", SEGMENT)
+
+
+@query("n2_verify_segments", L + " SELECT DISTINCT grp, CAST(pos // 64 AS BIGINT) AS segment, CASE WHEN (pos // 64) % 5 = 1 THEN 'missing' ELSE 'changed' END AS problem FROM sensor_long WHERE (pos // 64) % 5 = 1 OR (pos // 64) % 5 = 3 AND pos % 64 = 7")
+def n2_segments(spark, sf):
+    """Of five segments one was removed and one lost its eighth entry after sealing."""
+    d = log(spark, sf)
+    part = F.pmod(F.floor(F.col("pos") / SEGMENT), F.lit(5))
+    kept = d.filter((part != 1) & ~((part == 3) & (F.pmod("pos", F.lit(SEGMENT)) == 7)))
+    return N.verify_segments(kept, N.seal_segments(d, "grp", "pos", SEGMENT), "grp", "pos", SEGMENT)
+
+
 @query("n3_completeness", """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n_objects, CAST(count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS BIGINT) AS n_missing FROM orders GROUP BY 1""")
 def n3(spark, sf):
     li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
