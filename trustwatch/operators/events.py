@@ -76,9 +76,9 @@ def group_summary(scores: DataFrame, signals: Sequence[str]) -> DataFrame:
     return a.join(m, "grp", "left")
 
 
-def summary_events(segs: DataFrame, scores: DataFrame, signals: Sequence[str], k: int = 2) -> DataFrame:
-    """The two strongest segments of each group with the mean share of their leading signal."""
-    top = ordered.first_k(segs, ["grp"], [F.desc(F.col("mean_score") * F.log1p(F.col("n"))), "row_start"], k)
+def summary_events(segs: DataFrame, scores: DataFrame, signals: Sequence[str], k: int | None = 2) -> DataFrame:
+    """The two strongest segments of each group (all for k = None) with the mean share of their leading signal."""
+    top = segs if k is None else ordered.first_k(segs, ["grp"], [F.desc(F.col("mean_score") * F.log1p(F.col("n"))), "row_start"], k)
     j = ordered.join_intervals(scores.select("grp", "row", F.col("score").alias("row_score"), *[f"share_{s}" for s in signals]), top, ["grp"]).filter("row_score >= 1")
     a = j.groupBy("grp", "row_start", "row_end", "n", "mean_score", "peak").agg(*[F.avg(f"share_{s}").alias(f"share_{s}") for s in signals])
     return a.withColumn("leading_signal", lead_signal(signals))
@@ -111,15 +111,17 @@ def severity(mean: Column, n: Column, window: int) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.2 + 0.5 * F.tanh((mean - 1.0) / 3.0) + 0.3 * F.least(F.lit(1.0), n / F.lit(5.0 * window))))
 
 
-def build_flags(events: DataFrame, points: DataFrame, onset: DataFrame, window: int = 20, per_group: int = 8, total: int = 4000) -> DataFrame:
-    """Anomaly, drift, changepoint and point flags; at most 8 per group and 4000 in all, the most severe first."""
+def build_flags(events: DataFrame, points: DataFrame, onset: DataFrame, window: int = 20, per_group: int | None = None) -> DataFrame:
+    """Anomaly, drift, changepoint and point flags: all of them, or for a report the ``per_group`` most severe of each group."""
     e = events.join(onset.select("grp", F.col("row").alias("onset_row"), "kind"), "grp", "left")
     inside = F.col("onset_row").between(F.col("row_start") - window, F.col("row_end"))
     kind = F.when(inside & (F.col("kind") == "gradual"), "drift").when(inside, "changepoint").otherwise("anomaly")
     a = e.select(kind.alias("kind"), "grp", "row_start", "row_end", "n", "mean_score", "peak", severity(F.col("mean_score"), F.col("n"), window).alias("severity"), "leading_signal", F.when(inside, F.col("onset_row")).alias("onset"))
     p = points.select(F.lit("point").alias("kind"), "grp", "row_start", "row_end", "n", F.col("peak").alias("mean_score"), "peak", severity(F.col("peak"), F.col("n"), window).alias("severity"), F.lit(None).cast("string").alias("leading_signal"), F.lit(None).cast("long").alias("onset"))
-    f = ordered.first_k(a.unionByName(p), ["grp"], [F.desc("severity"), "row_start", "kind"], per_group)
-    return f.orderBy(F.desc("severity"), "grp", "row_start", "kind").limit(total).withColumn("flag_id", F.concat_ws("-", F.lit("F"), "grp", "row_start", "kind"))
+    f = a.unionByName(p)
+    if per_group is not None:
+        f = ordered.first_k(f, ["grp"], [F.desc("severity"), "row_start", "kind"], per_group)
+    return f.withColumn("flag_id", F.concat_ws("-", F.lit("F"), "grp", "row_start", "kind"))
 
 
 # ------------------------------------------------------------------ onsets

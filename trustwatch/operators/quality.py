@@ -1,7 +1,7 @@
 """Data-quality checks: one row per finding, the same columns for every check.
 
-``row_start`` / ``row_end`` are inclusive and span all events of the finding; ``events`` keeps the
-first 12 stretches. Runs never cross a group boundary or a batch boundary. A batch holds a bounded
+``row_start`` / ``row_end`` are inclusive and span all events of the finding; ``events`` holds
+all of its stretches. Runs never cross a group boundary or a batch boundary. A batch holds a bounded
 number of rows, so per-batch work is bounded too; work per group always goes through chunks.
 """
 
@@ -19,7 +19,6 @@ from trustwatch.functions import stats as S
 from trustwatch.operators import ordered
 from trustwatch.session import checkpoint_dir
 
-MAX_EVENTS = 12
 SHIFT_WINDOW = 25
 CATEGORIES = ("completeness", "validity", "consistency", "timeliness")
 
@@ -128,12 +127,11 @@ def _check(d: DataFrame, check_type: Column | str, category: Column | str, statu
 
 
 def summarize(events: DataFrame, by: Sequence[str], aggs: Sequence[Column] = ()) -> DataFrame:
-    """Events to one row per finding: n, n_events, full extent and the first stretches."""
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy("row_start", "row_end"))
-    first = F.when(F.col("_rn") <= MAX_EVENTS, F.struct(F.col("row_start").cast("long").alias("row_start"), F.col("row_end").cast("long").alias("row_end")))
-    return (events.withColumn("_rn", rn).groupBy(*by)
+    """Events to one row per finding: n, n_events, full extent and all stretches, in order (no more than the batch has rows)."""
+    stretch = F.struct(F.col("row_start").cast("long").alias("row_start"), F.col("row_end").cast("long").alias("row_end"))
+    return (events.groupBy(*by)
             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_events"), F.min("row_start").alias("row_start"),
-                 F.max("row_end").alias("row_end"), F.sort_array(F.collect_list(first)).alias("events"), *aggs))
+                 F.max("row_end").alias("row_end"), F.sort_array(F.collect_list(stretch)).alias("events"), *aggs))
 
 
 def _sized(d: DataFrame, ctx: Context) -> DataFrame:

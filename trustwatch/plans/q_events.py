@@ -92,7 +92,7 @@ def k6(spark, sf):
 
 def flags(spark, sf):
     return V.staged(spark, sf, "flags", lambda s, d: K.build_flags(
-        K.summary_events(K.segments(QD.score_table(s, d)), QD.score_table(s, d), V.SIGNALS, 8), model_points(s, d), K.onsets(QD.score_table(s, d))), ["grp", "row_start"])
+        K.summary_events(K.segments(QD.score_table(s, d)), QD.score_table(s, d), V.SIGNALS, None), model_points(s, d), K.onsets(QD.score_table(s, d))), ["grp", "row_start"])
 
 
 @query("k7_flags")

@@ -70,8 +70,7 @@ def h3_signals(spark, sf):
 @query("h3_untrusted_rows", EXPO + """ SELECT batch_id, check_type, CAST(row_start AS BIGINT) AS row_start, CAST(row_end AS BIGINT) AS row_end FROM (
   SELECT batch_id, 'empty_rows' AS check_type, row_start, row_end FROM er_isl UNION ALL SELECT batch_id, 'missing_block', row_start, row_end FROM mb_isl
   UNION ALL SELECT batch_id, 'frozen_block', b0, b1 FROM blocks UNION ALL SELECT batch_id, 'duplicate_rows', row_start, row_end FROM du_isl)
-  WHERE (batch_id, check_type) IN (SELECT (batch_id, check_type) FROM ex2 WHERE scoped)
-  QUALIFY row_number() OVER (PARTITION BY batch_id, check_type ORDER BY row_start) <= 12""")
+  WHERE (batch_id, check_type) IN (SELECT (batch_id, check_type) FROM ex2 WHERE scoped)""")
 def h3_rows(spark, sf):
     _, _, rows = T.untrusted(checks_table(spark, sf), sizes(spark, sf))
     return rows.select("batch_id", "check_type", "row_start", "row_end")
