@@ -80,3 +80,16 @@ def test_hysteresis():
     assert monitor.next_status("quiet", [0.7], 2, 2, 2)[0] == "occurring"
     assert monitor.next_status("occurring", [0.7, 0.5], 1, 2, 2)[0] == "occurring"
     assert monitor.next_status("occurring", [0.7, 0.1], 0, 0, 2)[0] == "quiet"
+
+
+def test_sealed_segments_show_what_was_removed(spark):
+    rows = spark.range(100).selectExpr("'a' AS log", "id AS seq", "CAST(id AS STRING) AS body")
+    chain = audit.append_chain(rows, "log", "seq", ["seq", "body"], 10)
+    heads = audit.seal_segments(chain, "log", "seq", 10)
+    root = audit.seal_root(heads, "log", 4).collect()
+    assert len(root) == 1 and root == audit.seal_root(heads, "log", 4).collect()
+    assert root != audit.seal_root(heads.filter("segment <> 9"), "log", 4).collect()
+    cut = chain.filter("seq NOT BETWEEN 30 AND 39 AND seq <> 55")
+    found = {(r.segment, r.problem) for r in audit.verify_segments(cut, heads, "log", "seq", 10).collect()}
+    assert found == {(3, "missing"), (5, "changed")}
+    assert audit.verify_segments(chain, heads, "log", "seq", 10).isEmpty()
