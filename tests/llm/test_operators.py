@@ -249,3 +249,23 @@ def test_rows_by_ids(spark, n):
     inside, outside = with_ids(rows, ids, "doc_id").collect(), without_ids(rows, ids, "doc_id").collect()
     assert sorted(r.text for r in inside) == sorted(r.text for r in rows.collect() if r.doc_id in wanted)
     assert sorted(r.text for r in outside) == sorted(r.text for r in rows.collect() if r.doc_id not in wanted)
+
+
+@pytest.mark.parametrize("k,pct,n", [(3, 90, 11), (5, 80, 8)])
+def test_jaccard_at_the_threshold(spark, k, pct, n):
+    """Sets of 9 and 10 (4 and 5) shingles that meet the threshold exactly, and share nothing with the rest."""
+    data = []
+    for i in range(0, 40, 2):
+        w = [f"p{i}_{j}" for j in range(n)]
+        data += [(i, " ".join(w)), (i + 1, " ".join([*w, "end"] if i % 4 else ["start", *w]))]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), k, pct).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
+
+
+@pytest.mark.parametrize("pct", [50, 80, 90, 97, 99])
+def test_jaccard_spare_by_sizes(pct):
+    """Whatever two sizes can link, fewer shingles are passed over than the emitted ones must share."""
+    for m in range(1, 400):
+        for n in range(jaccard._needed(m, pct), m + 1):
+            c = -(-pct * (n + m) // (100 + pct))
+            assert max(jaccard._spare(n, pct), jaccard._spare(m, pct)) < min(jaccard._emitted(n, pct) - n + c, jaccard._emitted(m, pct) - m + c)

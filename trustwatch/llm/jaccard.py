@@ -1,9 +1,10 @@
 """Operator 9: exact n-gram Jaccard join in the metric space of shingle sets.
 
 Identical sets form one class and go on as its smallest document. Of n shingles, p = n - ceil(t * n) + 1 can't all be foreign to
-a linked set. Each document emits its first q >= p shingles in an order that puts expectedly common ones last; linked sets have at
-least q - p + 1 of these in common, so the p of them that the fewest documents emitted (counted exactly) still hold a common one.
-A document with p shingles of its own is alone; what hangs together by the others is a region. Each region takes the member that most
+a linked set. Each document emits its first q >= p shingles in an order that puts expectedly common ones last. How many of these
+linked sets have in common at least follows from their two sizes; a document passes over the most held (counted exactly) of its
+shared ones, fewer than that least number for any size it can link with, so a common one is left.
+A document that shares none is alone; what hangs together by the others is a region. Each region takes the member that most
 others met as its pivot, and members are laid out in rings by their exact Jaccard distance to it, as wide as the link distance:
 by the triangle inequality a link reaches no further than the next ring, into which boundary members are replicated. Members within
 reach of the pivot are linked and closed; the open ones meet the closed ones and each other in blocks of bounded size. Where
@@ -16,6 +17,7 @@ memory is bounded by two blocks in any case.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,25 @@ def _needed(n, pct: int):
     return -(-pct * n // 100)
 
 
+def _emitted(n, pct: int):
+    """Shingles that a set of ``n`` emits (of numbers or arrays)."""
+    p = n - _needed(n, pct) + 1
+    return np.minimum(np.maximum(p + p // 2, n // 5), n)
+
+
+@lru_cache(1 << 16)
+def _spare(n: int, pct: int) -> int:
+    """How many of its shared shingles a set of ``n`` may pass over.
+
+    A link of n with m needs c = ceil(pct (n + m) / (100 + pct)) common shingles, so the first a of n and b of m share at least
+    min(a - (n - c), b - (m - c)). Both pass over the last of one order, together no more of the shared ones than the larger number.
+    """
+    m = np.arange(_needed(n, pct), 100 * n // pct + 1)
+    c = -(-pct * (n + m) // (100 + pct))
+    least = np.minimum(_emitted(n, pct) - n + c, _emitted(m, pct) - m + c).min()
+    return int(min(_emitted(n, pct) - (n - _needed(n, pct) + 1), least - 1))
+
+
 def _expected(words: np.ndarray, k: int, n: int, freq: np.ndarray) -> np.ndarray:
     """Expected occurrences of each shingle if words were independent (0 below RARE); one of fewer than k words counts as rare."""
     if len(words) < k:
@@ -84,14 +105,14 @@ def _expected(words: np.ndarray, k: int, n: int, freq: np.ndarray) -> np.ndarray
 
 
 def profile(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n (set size), a 128-bit digest of the set, and its first q shingles in common-last order, ties by hash."""
+    """doc_id, n (set size), a 128-bit digest of the set, its first q shingles in common-last order, ties by hash, and how many it may pass over."""
     docs = id_text(docs)
     freq = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def run(batches):
         f = freq.value
         for b in batches:
-            ids, sizes, d1, d2, pre = b.column("doc_id"), [], [], [], []
+            ids, sizes, d1, d2, pre, spare = b.column("doc_id"), [], [], [], [], []
             for _, w, s in _shingled(b.column("text"), k):
                 often = _expected(w, k, len(s), f)
                 s, first = np.unique(s, return_index=True)
@@ -99,11 +120,11 @@ def profile(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
                 sizes.append(n)
                 d1.append(int(T.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(T.mix(s + U(0x5851F42D4C957F2D))).view(np.int64)) if n else 0)
-                p = n - _needed(n, pct) + 1
-                pre.append(s[np.argsort(often[first], kind="stable")[:max(p + p // 2, n // 5)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "prefix"])
+                pre.append(s[np.argsort(often[first], kind="stable")[:_emitted(n, pct)]].view(np.int64))
+                spare.append(_spare(n, pct) if n else 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(pre, pa.list_(pa.int64())), pa.array(spare, pa.int32())], ["doc_id", "n", "d1", "d2", "prefix", "spare"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, spare int")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -202,8 +223,8 @@ def near_links(docs: DataFrame, prof: DataFrame, k: int, pct: int) -> tuple[Data
     classes = written(prof.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
     copies = written(prof.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep"), "copies")
     of = prof.select("doc_id", "n").join(copies.distinct(), "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = without_ids(prof.filter("n > 0").select("doc_id", "n", "prefix"), copies.filter("doc_id <> rep").select("doc_id"), "doc_id")
-    postings = reps.select("doc_id", F.expr(f"CAST(size(prefix) - (n - CAST(ceil({pct} * n / 100) AS BIGINT) + 1) AS INT)").alias("spare"), F.explode("prefix").alias("h"))
+    reps = without_ids(prof.filter("n > 0").select("doc_id", "spare", "prefix"), copies.filter("doc_id <> rep").select("doc_id"), "doc_id")
+    postings = reps.select("doc_id", "spare", F.explode("prefix").alias("h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("holders")).filter("holders > 1")
     # all of a document's shared shingles are at hand (no more than it emitted), rarest first: the last ``spare`` may go
     kept = postings.join(shared, "h").groupBy("doc_id", "spare").agg(F.array_sort(F.collect_list(F.struct("holders", "h"))).alias("s")).filter("size(s) > spare") \
