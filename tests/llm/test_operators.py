@@ -269,3 +269,14 @@ def test_jaccard_spare_by_sizes(pct):
         for n in range(jaccard._needed(m, pct), m + 1):
             c = -(-pct * (n + m) // (100 + pct))
             assert max(jaccard._spare(n, pct), jaccard._spare(m, pct)) < min(jaccard._emitted(n, pct) - n + c, jaccard._emitted(m, pct) - m + c)
+
+
+def test_packing_added_tokens(spark):
+    """Ids are those of the JSON file as it stands, for texts that hold an added token too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\n b", " <|endoftext", "x <|ENDOFTEXT|> <|im_end|>  <|endoftext|>  y", "é<|endoftext|>漢字 \t<|endoftext|>"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True)
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}

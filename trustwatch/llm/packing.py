@@ -8,7 +8,9 @@ whole, with those of other bins, in rounds that each have fewer bins of work. Wh
 
 from __future__ import annotations
 
+import json
 import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,29 +24,34 @@ LIMIT = 32_768
 
 
 class Tokens:
-    """Token ids of a byte-level BPE vocabulary, those of its JSON file in ``tokenizers``, read from its ranks file (which encodes faster)."""
+    """Token ids of a byte-level BPE vocabulary, those of its JSON file in ``tokenizers``, read from its ranks file (which encodes faster).
+
+    ``added``: the JSON file's added tokens and their ids; they are found in texts, as there.
+    """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: dict[str, int] | None = None):
         import base64
 
         import tiktoken
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens=added or {})
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
 
 
-def default_tokenizer() -> tuple[str, str]:
-    """Ranks file and pre-token pattern of the public 50k byte-level vocabulary."""
+def default_tokenizer() -> tuple[str, str, dict[str, int]]:
+    """Ranks file, pre-token pattern and added tokens of the public 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
-def pieces(docs: DataFrame, tokenizer: tuple[str, str], length: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str] | tuple[str, str, dict[str, int]], length: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece; an empty or null text is its end token alone."""
 
     def run(batches):
@@ -137,7 +144,7 @@ def place_pieces(cut: DataFrame, length: int = 1024, limit: int = LIMIT, rounds:
     return full.unionByName(placed)
 
 
-def pack(docs: DataFrame, tokenizer: tuple[str, str] | None = None, length: int = 1024, end: int = 2, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: tuple[str, str] | tuple[str, str, dict[str, int]] | None = None, length: int = 1024, end: int = 2, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id and offset of every piece of every document.
 
     A null or empty text is its end token. Equal doc_ids stay separate rows (units are numbered by id, piece and a rank among
