@@ -280,3 +280,28 @@ def test_packing_added_tokens(spark):
     texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\n b", " <|endoftext", "x <|ENDOFTEXT|> <|im_end|>  <|endoftext|>  y", "é<|endoftext|>漢字 \t<|endoftext|>"]
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True)
     assert {r.doc_id: r.ids for r in got.collect()} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
+def test_license_wrapped_and_scattered(spark):
+    """Line breaks don't matter, and words scattered over a long line are no notice; against all runs of words."""
+    mit, bsd, isc = (license_scan.TEMPLATES[x].split() for x in ("mit", "bsd", "isc"))
+    wrap = lambda w, n, mark: "\n".join(mark + " ".join(w[i:i + n]) for i in range(0, len(w), n))
+    rng = np.random.default_rng(5)
+    texts = ["/*\n" + wrap(mit, 13, " * ") + "\n */\nint x;", wrap(bsd, 5, "# "), "a b\n" + wrap(isc, 1, ""), " ".join(f"{w} {' '.join(['filler'] * 9)}" for w in isc), " ".join(f"{w} x" for w in isc[:-3]), None, "",
+             wrap(mit, 4, "") + "\n" + wrap(bsd[:-3], 6, ""), "pad " * 3000 + wrap(mit, 7, "") + " pad" * 3000]
+    for t in [mit, bsd, isc] * 20:
+        w = [x for x in t if rng.random() < 0.9]
+        for j in sorted(rng.integers(0, len(w), rng.integers(0, 12)), reverse=True):
+            w.insert(j, str(rng.choice(["x", "of", "Software", "and,"])))
+        texts.append(wrap(w, int(rng.integers(1, 30)), ""))
+    got = {r.doc_id: {b.label: b.containment for b in r.blocks} for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(texts):
+        w, want = ALNUM.findall(low(x or "")), {}
+        for label, t in license_scan.TEMPLATES.items():
+            t = license_scan._plain(t)
+            n = math.ceil(len(t) / 0.8)
+            share = max((len(set(t) & set(w[j:j + n])) for j in range(len(w))), default=0)
+            if 100 * share >= 80 * len(set(t)):
+                want[label] = share / len(set(t))
+        assert got[i] == want, (i, x)
+    assert got[0] == {"mit": 1.0} and got[1] == {"bsd": 1.0} and got[3] == {} and set(got[7]) == {"mit", "bsd"} and got[8] == {"mit": 1.0}

@@ -1,10 +1,14 @@
 """Operator 3: license scans by an exact set-similarity join, in DataFrame operations only.
 
+A block is any run of consecutive words, across line breaks, as long as a template of which ``100 - t`` percent more words are
+foreign: ceil(100 / t * words of the template). Runs overlap, one ends at every word; longer runs are no blocks, so words
+scattered over a long line or text don't add up.
 Tokens are ordered by how many documents hold them, rarest first, ties by the token. A block can hold ``t`` percent of a
-template's distinct tokens only if it has one of the template's first |T| - need + 1 tokens in that order (prefix filter),
+template's distinct tokens only if its text has one of the template's first |T| - need + 1 tokens in that order (prefix filter),
 need tokens at all (length filter), and enough of the template's tokens from its first shared one on (positional filter).
-Only tokens of templates matter, so the statistics are of the templates' vocabulary, over all documents. Candidate pairs come
-from an equi-join on prefix tokens and are verified by whole sets. The templates are a parameter and few; they are literals.
+Only tokens of templates matter, so the statistics are of the templates' vocabulary, over all documents. Candidate pairs (text, template)
+come from an equi-join on prefix tokens and are verified by whole sets; in those left, a pass over the places of the template's
+tokens finds the block that holds most of them. The templates are a parameter and few; they are literals.
 """
 
 from __future__ import annotations
@@ -40,14 +44,14 @@ def words(c: Column) -> Column:
 
 
 def _ordered_templates(spark: SparkSession, rows: DataFrame, templates: dict[str, str], percent: int) -> list[dict]:
-    """label, tokens in the global order, need and prefix length of each template (the driver holds the templates' tokens alone)."""
+    """label, tokens in the global order, need, prefix length and width of a block of each template (the driver holds the templates' tokens alone)."""
     vocabulary = sorted({w for t in templates.values() for w in _plain(t)})
     df = {r.token: r.n for r in rows.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
     out = []
     for label, t in templates.items():
         tokens = sorted(set(_plain(t)), key=lambda w: (df.get(w, 0), w))
         need = -(-percent * len(tokens) // 100)
-        out.append({"label": label, "tokens": tokens, "need": need, "prefix": len(tokens) - need + 1})
+        out.append({"label": label, "tokens": tokens, "need": need, "prefix": len(tokens) - need + 1, "width": -(-100 * len(_plain(t)) // percent)})
     return out
 
 
@@ -56,25 +60,32 @@ def _plain(t: str) -> list[str]:
 
 
 def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
-    """(doc_id, block, label, containment): every line of every text that holds at least ``percent`` of a template's distinct tokens."""
+    """(doc_id, label, containment): of every text with a block that holds at least ``percent`` of a template's distinct tokens, the most that one holds."""
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     rows = id_text(docs)
     if not templates:
-        return rows.select("doc_id", F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
+        return rows.select("doc_id", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     known = _ordered_templates(spark, rows.select(words(F.col("text")).alias("words")), templates, percent)
     prefixes = sorted({w for t in known for w in t["tokens"][:t["prefix"]]})
     least = min(t["need"] for t in known)
     lits = F.array(*map(F.lit, prefixes))
-    blocks = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line")).filter(F.length("line") >= 2 * least - 1) \
-        .select("doc_id", "block", F.array_distinct(words(F.col("line"))).alias("has")).filter((F.size("has") >= least) & F.arrays_overlap("has", lits))
-    side = spark.createDataFrame([(w, t["label"], t["tokens"], t["need"], i) for t in known for i, w in enumerate(t["tokens"][:t["prefix"]])], "token string, label string, tokens array<string>, need int, place int")
-    pairs = blocks.withColumn("token", F.explode(F.array_intersect("has", lits))).join(F.broadcast(side), "token") \
+    vocabulary = F.array(*map(F.lit, sorted({w for t in known for w in t["tokens"]})))
+    texts = rows.filter(F.length("text") >= 2 * least - 1).select("doc_id", words(F.col("text")).alias("w")).withColumn("has", F.array_intersect("w", vocabulary)) \
+        .filter((F.size("has") >= least) & F.arrays_overlap("has", lits))
+    side = spark.createDataFrame([(w, t["label"], t["tokens"], t["need"], t["width"], i) for t in known for i, w in enumerate(t["tokens"][:t["prefix"]])], "token string, label string, tokens array<string>, need int, width int, place int")
+    pairs = texts.withColumn("token", F.explode(F.array_intersect("has", lits))).join(F.broadcast(side), "token") \
         .filter("size(has) >= need AND size(tokens) - place >= need")
     # a pair is verified at its first shared prefix token only
     first = F.expr("NOT exists(slice(tokens, 1, place), x -> array_contains(has, x))")
-    return pairs.filter(first).select("doc_id", "block", "label", "need", (F.size(F.array_intersect("tokens", "has"))).alias("shared"), F.size("tokens").alias("all")) \
-        .filter("shared >= need").select("doc_id", "block", "label", (F.col("shared") / F.col("all")).alias("containment"))
+    pairs = pairs.filter(first).filter(F.size(F.array_intersect("tokens", "has")) >= F.col("need"))
+    # near: the last place of each token within a block's width, so its size is what the block ending there holds
+    places = "filter(transform(w, (x, i) -> named_struct('i', i, 't', x)), y -> array_contains(tokens, y.t))"
+    most = F.expr(f"""aggregate({places}, named_struct('most', 0, 'near', CAST(array() AS array<struct<i: int, t: string>>)),
+        (s, y) -> named_struct('most', greatest(s.most, size(s.near)), 'near', concat(filter(s.near, z -> z.t <> y.t AND z.i > y.i - width), array(y))),
+        s -> greatest(s.most, size(s.near)))""")
+    return pairs.select("doc_id", "label", "need", most.alias("shared"), F.size("tokens").alias("all")) \
+        .filter("shared >= need").select("doc_id", "label", (F.col("shared") / F.col("all")).alias("containment"))
 
 
 def phrase_places(w: Column, phrases: dict[str, str]) -> Column:
@@ -101,7 +112,7 @@ def _follow(w: Column, i: Column, p: list[str]) -> Column:
 def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
     """doc_id, n_words, places (start, label of each phrase), blocks (label, containment), one row per row of ``docs``.
 
-    Null texts are empty: no words, no places. Lines are the blocks. Repeated doc_ids get the blocks of all their rows; empty
+    Null texts are empty: no words, no places. Blocks are runs of words, whatever the lines. Repeated doc_ids get the blocks of all their rows; empty
     tables give no rows; extra columns are ignored.
     """
     phrases = PHRASES if phrases is None else phrases
