@@ -305,3 +305,12 @@ def test_license_wrapped_and_scattered(spark):
                 want[label] = share / len(set(t))
         assert got[i] == want, (i, x)
     assert got[0] == {"mit": 1.0} and got[1] == {"bsd": 1.0} and got[3] == {} and set(got[7]) == {"mit", "bsd"} and got[8] == {"mit": 1.0}
+
+
+def test_license_labels_of_all_blocks(spark, tmp_path):
+    """Every template that met the threshold is named, not the closest alone."""
+    from trustwatch.llm.queries import op3_license_scan
+
+    bsd, mit = license_scan.TEMPLATES["bsd"], license_scan.TEMPLATES["mit"].split()
+    spark.createDataFrame([(1, f"{bsd}\n{' '.join(mit[:-3])}"), (2, f"cc by\n{bsd}"), (3, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.labels, r.score) for r in op3_license_scan(spark, str(tmp_path)).collect()} == {1: ("bsd,mit", 1.0), 2: ("bsd,cc-by", 1.0), 3: ("", 0.0)}
