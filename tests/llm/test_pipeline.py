@@ -23,7 +23,7 @@ def test_stages(spark, sf):
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and len(QUERIES) == 13
 
 
 def test_rest_stands_alone():
