@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -296,61 +298,98 @@ def redundant_signals(wide: DataFrame, signals: Sequence[str], max_regressors: i
 
 
 # ------------------------------------------------------------------ roles
+#: Limits that make a trait, over the columns of the fingerprints (absent measures count as 0, an absent hold period as 1).
+TRAITS = {
+    "empty": "count = 0",
+    "single": "n_unique <= 1 OR std = 0 OR min = max",
+    "whole": "integer_valued",
+    "percent": "boundedness = '0-100'",
+    "few": "n_unique <= 10",
+    "climbs": "n_unique > 20 AND trend_strength > 0.95 AND autocorr_lag1 > 0.99 AND stuck_fraction < 0.05 AND jump_ratio < 0.05",
+    "narrow": "mean <> 0 AND abs(std / nullif(mean, 0)) < 0.1",
+    "recurs": "n_unique >= 20 AND n_unique / count <= 0.2 AND abs(autocorr_lag1) < 0.2 AND stuck_fraction < 0.2",
+    "rests": "stuck_fraction >= 0.4",
+    "cadence": "hold_period BETWEEN 2 AND 20 AND (hold_regularity >= 0.9 OR (hold_regularity >= 0.6 AND level_autocorr >= 0.5))",
+    "leaps": "boundedness = '0-100' OR large_jump_share >= 0.3 OR jump_ratio >= 0.5 OR hold_period > 20",
+    "holds": "hold_period >= 2",
+    "strides": "large_jump_share >= 0.5 AND hold_period >= 1.5",
+}
+#: What a role asks for, and what it must not have; the first row that fits names the role.
+ROLES = [
+    ("unknown", {"empty"}, set()),
+    ("constant", {"single"}, set()),
+    ("derived_redundant", {"derived"}, set()),
+    ("counter", {"whole", "climbs"}, set()),
+    ("categorical", {"whole", "few"}, {"percent"}),
+    ("categorical", {"whole", "narrow", "recurs"}, set()),
+    ("held_sampled", {"rests", "cadence"}, set()),
+    ("actuator_like", {"rests", "leaps"}, set()),
+    ("held_sampled", {"rests", "holds"}, set()),
+    ("actuator_like", {"percent", "strides"}, {"rests"}),
+    ("continuous_measured", set(), set()),
+]
+#: Evidence for a manipulated variable (the rows of a kind exclude each other) and its weight.
+EVIDENCE = [
+    ("a percentage from end to end", "top = 100 AND at_low AND at_high", 0.55),
+    ("a percentage up to one end", "top = 100 AND at_low <> at_high", 0.2),
+    ("a fraction from end to end", "top = 1 AND at_low AND at_high", 0.2),
+    ("a fraction up to one end", "top = 1 AND at_low <> at_high", 0.1),
+    ("readings at a limit", "top IS NOT NULL AND greatest(share_at_min, share_at_max) > 0.001", 0.35),
+    ("steps", "stuck_fraction >= 0.4 AND (large_jump_share >= 0.3 OR jump_ratio >= 0.5)", 0.25),
+    ("others follow", "followers > 0", 0.25),
+    ("follows others", "drivers > 0 AND coalesce(followers, 0) = 0", 0.1),
+]
+#: Ranges of a percentage and of a fraction: least, greatest and extent that is used.
+RANGES = {100: (-3.0, 103.0, 20.0), 1: (-0.03, 1.03, 0.2)}
+#: Guesses from structure alone, the first that fits; its confidence as SQL.
+GUESSES = [
+    ("manipulated variable", "role = 'actuator_like' AND manipulated > 0", "least(0.5, 0.25 + 0.3 * manipulated)"),
+    ("valve / actuator position", "role = 'actuator_like'", "CASE WHEN boundedness = '0-100' THEN 0.45 ELSE 0.35 END"),
+    ("analyzer / composition", "role = 'held_sampled'", "0.4"),
+    ("controller output / valve position", "boundedness = '0-100'", "0.3"),
+    ("temperature-like", "noise_level < 0.2 AND autocorr_lag1 > 0.98", "0.3"),
+    ("flow-like", "noise_level > 0.6", "0.3"),
+    ("pressure / level-like", "true", "0.2"),
+]
+ABSENT = {"autocorr_lag1": 0.0, "stuck_fraction": 0.0, "hold_period": 1.0, "hold_regularity": 0.0, "large_jump_share": 0.0, "trend_strength": 0.0, "noise_level": 1.0}
+MANIPULATED = 0.55
+
+
+def _filled(fp: DataFrame) -> DataFrame:
+    """Absent measures as the traits read them."""
+    return fp.na.fill({c: v for c, v in ABSENT.items() if c in fp.columns})
+
+
 def structural_role(fp: DataFrame, derived: Sequence[str] = ()) -> DataFrame:
-    """constant, derived_redundant, counter, categorical, held_sampled, actuator_like or continuous_measured."""
-    g = lambda c, d=0.0: F.coalesce(F.col(c), F.lit(d))
-    nu, ac, stuck, hold, reg, big, trend = F.col("n_unique"), g("autocorr_lag1"), g("stuck_fraction"), g("hold_period", 1.0), g("hold_regularity"), g("large_jump_share"), g("trend_strength")
-    jump, lv, bounded, ints = F.col("jump_ratio"), F.col("level_autocorr"), F.col("boundedness") == "0-100", F.col("integer_valued")
-    const = (nu <= 1) | (F.col("std") == 0) | (F.col("min") == F.col("max"))
-    counter = ints & (nu > 20) & (trend > 0.95) & (ac > 0.99) & (stuck < 0.05) & (jump < 0.05)
-    narrow = F.coalesce((F.col("mean") != 0) & (F.abs(F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))) < 0.1), F.lit(False))
-    code = ints & narrow & (nu >= 20) & (nu / F.col("count") <= 0.2) & (F.abs(ac) < 0.2) & (stuck < 0.2)
-    strict = (hold >= 2) & (hold <= 20) & (reg >= 0.9)
-    loose = (hold >= 2) & (hold <= 20) & (reg >= 0.6) & F.coalesce(lv >= 0.5, F.lit(False))
-    steppy = bounded | (big >= 0.3) | F.coalesce(jump >= 0.5, F.lit(False)) | (hold > 20)
-    role = (F.when(F.col("count") == 0, "unknown").when(const, "constant").when(F.col("signal").isin(list(derived) or [""]), "derived_redundant").when(F.coalesce(counter, F.lit(False)), "counter")
-            .when(ints & (nu <= 10) & ~bounded, "categorical").when(code, "categorical")
-            .when(stuck >= 0.4, F.when(strict | loose, "held_sampled").when(steppy, "actuator_like").when(hold >= 2, "held_sampled").otherwise("continuous_measured"))
-            .when(bounded & (big >= 0.5) & (hold >= 1.5), "actuator_like").otherwise("continuous_measured"))
-    return fp.withColumn("role", role)
-
-
-def percent_like() -> Column:
-    mn, mx = F.col("min"), F.col("max")
-    return F.when((mn >= -3) & (mx <= 103) & (mx - mn >= 20), "0-100").when((mn >= -0.03) & (mx <= 1.03) & (mx - mn >= 0.2) & ~F.col("integer_valued"), "0-1")
+    """constant, derived_redundant, counter, categorical, held_sampled, actuator_like or continuous_measured: traits first, then the first role they fit."""
+    d = _filled(fp)
+    traits = d.select("signal", *[F.coalesce(F.expr(t).cast("boolean"), F.lit(False)).alias(f"_{n}") for n, t in TRAITS.items()], F.col("signal").isin(list(derived) or [""]).alias("_derived"))
+    fits = [F.when(reduce(and_, [F.col(f"_{t}") for t in sorted(has)] + [~F.col(f"_{t}") for t in sorted(lacks)], F.lit(True)), role) for role, has, lacks in ROLES]
+    return fp.join(traits.select("signal", F.coalesce(*fits).alias("role")), "signal")
 
 
 def manipulated_score(fp: DataFrame, edges: DataFrame) -> DataFrame:
-    """How much a signal looks like a controller output or valve; 0.55 and above means actuator."""
+    """How much a signal looks like a controller output or valve: the weights of the evidence that holds; MANIPULATED and above means actuator."""
     strong = edges.filter((F.abs("r") >= 0.5) & (F.col("lag") >= 1))
-    lead = strong.groupBy(F.col("a").alias("signal")).agg(F.count(F.lit(1)).alias("followers"))
-    foll = strong.groupBy(F.col("b").alias("signal")).agg(F.count(F.lit(1)).alias("drivers"))
-    d = fp.join(lead, "signal", "left").join(foll, "signal", "left").withColumn("_p", percent_like())
-    top = F.when(F.col("_p") == "0-100", 100.0).otherwise(1.0)
-    lo, hi, full = F.col("min") <= 0.03 * top, F.col("max") >= 0.97 * top, F.col("_p") == "0-100"
-    ends = F.when(F.col("_p").isNull(), 0.0).when(lo & hi, F.when(full, 0.55).otherwise(0.2)).when(lo | hi, F.when(full, 0.2).otherwise(0.1)).otherwise(0.0)
-    at = F.when(F.col("_p").isNotNull() & (F.greatest("share_at_min", "share_at_max") > 0.001), 0.35).otherwise(0.0)
-    step = F.when((F.coalesce("stuck_fraction", F.lit(0.0)) >= 0.4) & ((F.coalesce("large_jump_share", F.lit(0.0)) >= 0.3) | F.coalesce(F.col("jump_ratio") >= 0.5, F.lit(False))), 0.25).otherwise(0.0)
-    rel = F.when(F.col("followers") > 0, 0.25).when(F.col("drivers") > 0, 0.1).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), ends + at + step + rel), 3)
-    return d.withColumn("manipulated", score).drop("_p", "followers", "drivers")
+    ends = strong.select(F.explode(F.array(F.struct(F.col("a").alias("signal"), F.lit(1).alias("leads")), F.struct(F.col("b").alias("signal"), F.lit(0).alias("leads")))).alias("x")).groupBy("x.signal").agg(F.sum("x.leads").alias("followers"), F.sum(1 - F.col("x.leads")).alias("drivers"))
+    inside = {t: (F.col("min") >= lo) & (F.col("max") <= hi) & (F.col("max") - F.col("min") >= used) for t, (lo, hi, used) in RANGES.items()}
+    top = F.when(inside[100], 100.0).when(inside[1] & ~F.col("integer_valued"), 1.0)
+    d = _filled(fp).join(ends, "signal", "left").withColumn("top", top).withColumn("at_low", F.col("min") <= 0.03 * F.col("top")).withColumn("at_high", F.col("max") >= 0.97 * F.col("top"))
+    weight = sum((F.when(F.expr(holds), w).otherwise(0.0) for _, holds, w in EVIDENCE), F.lit(0.0))
+    return fp.join(d.select("signal", F.round(F.least(F.lit(1.0), weight), 3).alias("manipulated")), "signal")
 
 
 def role_hypotheses(cat: DataFrame) -> DataFrame:
-    """Low-confidence instrument guesses from structure only (sensor-like data)."""
-    bounded, noise, ac, role = F.col("boundedness") == "0-100", F.coalesce("noise_level", F.lit(1.0)), F.coalesce("autocorr_lag1", F.lit(0.0)), F.col("role")
-    value = (F.when(role.isin("constant", "derived_redundant", "counter", "categorical", "unknown"), None).when((role == "actuator_like") & (F.col("manipulated") > 0), "manipulated variable")
-             .when(role == "actuator_like", "valve / actuator position").when(role == "held_sampled", "analyzer / composition").when(bounded, "controller output / valve position")
-             .when((noise < 0.2) & (ac > 0.98), "temperature-like").when(noise > 0.6, "flow-like").otherwise("pressure / level-like"))
-    conf = (F.when((role == "actuator_like") & (F.col("manipulated") > 0), F.least(F.lit(0.5), 0.25 + 0.3 * F.col("manipulated"))).when(role == "actuator_like", F.when(bounded, 0.45).otherwise(0.35))
-            .when(role == "held_sampled", 0.4).when(bounded | ((noise < 0.2) & (ac > 0.98)) | (noise > 0.6), 0.3).otherwise(0.2))
-    return cat.select("signal", value.alias("hypothesis"), conf.alias("confidence")).filter("hypothesis is not null")
+    """Low-confidence instrument guesses from structure only, for measured signals and actuators."""
+    d = _filled(cat).filter("role IN ('continuous_measured', 'held_sampled', 'actuator_like')")
+    value = F.coalesce(*[F.when(F.expr(fits), F.struct(F.lit(name).alias("hypothesis"), F.expr(f"CAST({sure} AS DOUBLE)").alias("confidence"))) for name, fits, sure in GUESSES])
+    return d.select("signal", value.alias("g")).select("signal", "g.hypothesis", "g.confidence")
 
 
 def signal_catalog(fp: DataFrame, edges: DataFrame, clusters: DataFrame, derived: Sequence[str] = ()) -> DataFrame:
     """Role, score, cluster and leaders of every signal; a manipulated score of 0.55 turns a measurement into an actuator."""
     d = manipulated_score(structural_role(fp, derived), edges)
-    d = d.withColumn("role", F.when((F.col("role").isin("continuous_measured", "held_sampled")) & (F.col("manipulated") >= 0.55), "actuator_like").otherwise(F.col("role")))
+    d = d.withColumn("role", F.when((F.col("role").isin("continuous_measured", "held_sampled")) & (F.col("manipulated") >= MANIPULATED), "actuator_like").otherwise(F.col("role")))
     d = d.join(clusters.select(F.col("id").alias("signal"), F.col("component").alias("cluster")), "signal", "left")
     lead = leaders(edges).groupBy("signal").agg(F.sort_array(F.collect_list(F.struct("lag", "leader"))).alias("leaders"))
     return d.join(lead, "signal", "left")

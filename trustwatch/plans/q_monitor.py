@@ -112,9 +112,20 @@ def m7(spark, sf):
     return feats(spark, sf).select("signal", "cycle", *[F.round(c, 4).alias(c) for c in ("z", "var_ratio", "slope", "jump_ratio", "move_ratio")])
 
 
-@query("m8_indicators", FEAT + """ SELECT signal, cycle, 'mean_shift' AS pattern, round(greatest(0.0, least(1.0, (abs(z) - 1) / 3)), 4) AS ind FROM f1 UNION ALL SELECT signal, cycle, 'fading_shift', round(greatest(0.0, least(1.0, (greatest(abs(z), coalesce(peak4, 0)) - 1) / 3)), 4) FROM f1""")
+IND = """, f2 AS (SELECT f1.*, e.steps - r.step_ref AS more, coalesce(max(abs(z)) OVER (PARTITION BY signal ORDER BY cycle ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS peak3, coalesce(list(z) OVER (PARTITION BY signal ORDER BY cycle ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), []) AS hist
+  FROM f1 JOIN ex e USING (signal, cycle) JOIN sr r USING (signal)),
+f3 AS (SELECT *, list_filter([(hist || [z])[i + 1] - (hist || [z])[i] FOR i IN range(1, len(hist) + 1)], lambda x: abs(x) >= 0.15) AS big FROM f2),
+f4 AS (SELECT *, CASE WHEN len(big) = 0 THEN 0 ELSE greatest(len(list_filter(big[greatest(1, len(big) - 3):], lambda x: x > 0)), len(list_filter(big[greatest(1, len(big) - 3):], lambda x: x < 0))) / 4.0 END AS mono,
+  greatest(0.0, least(1.0, (abs(z) - 1) / 3)) AS shift, greatest(0.0, least(1.0, coalesce((jump_ratio - 1) / 3, 0))) * greatest(0.0, least(1.0, coalesce(more / 0.04, 0))) * greatest(0.0, least(1.0, coalesce((1.45 - move_ratio) / 0.3, 0))) AS jumpy,
+  greatest(abs(z), peak3) AS p3, greatest(abs(z), coalesce(peak4, 0)) AS p4 FROM f3),
+ind AS (SELECT signal, cycle, unnest(['mean_shift', 'slow_drift', 'brief_bump', 'fading_shift', 'collapse', 'variance_increase', 'jumpy']) AS pattern,
+  unnest([shift, shift * CASE WHEN mono >= 0.75 AND len(hist) >= 3 THEN 1 ELSE 0.3 END, greatest(0.0, least(1.0, (p3 - 1) / 3)) * CASE WHEN abs(z) < p3 - 0.5 THEN 1 ELSE 0.8 END, greatest(0.0, least(1.0, (p4 - 1) / 3)),
+    greatest(0.0, least(1.0, (-z - 4) / 6)) * CASE WHEN slope <= -2 OR len(list_filter(hist, lambda x: x - z >= 3)) > 0 THEN 1 ELSE 0.15 END, greatest(0.0, least(1.0, (var_ratio - 1) / 2)) * (1 - jumpy), jumpy]) AS ind FROM f4)"""
+
+
+@query("m8_indicators", FEAT + IND + " SELECT signal, cycle, pattern, round(ind, 4) AS ind FROM ind")
 def m8(spark, sf):
-    return M.indicators(feats(spark, sf)).filter("pattern in ('mean_shift', 'fading_shift')").select("signal", "cycle", "pattern", F.round("ind", 4).alias("ind"))
+    return M.indicators(feats(spark, sf)).select("signal", "cycle", "pattern", F.round("ind", 4).alias("ind"))
 
 
 def catalogue(spark, sf):
@@ -129,9 +140,24 @@ def catalogue(spark, sf):
     return spec.unionByName(gen)
 
 
+def faulty_feats(spark, sf):
+    """Features of the stream with a planted fault: from half of the cycles on, the first two sensors in name order leave normal by 0.8 sigma a cycle, up to 4."""
+    base, stats = learned(spark, sf)
+    from pyspark.sql import Window
+
+    sick = stats.select("signal").distinct().withColumn("_k", F.row_number().over(Window.orderBy("signal"))).filter("_k <= 2")
+    half = stats.agg((F.max("cycle") / 2).alias("_half"))
+    d = stats.crossJoin(F.broadcast(half)).join(F.broadcast(sick), "signal", "left").join(base.select("signal", "sigma"), "signal")
+    away = F.when(F.col("_k").isNotNull() & (F.col("cycle") > F.col("_half")), F.col("sigma") * F.least(F.lit(4.0), 0.8 * (F.col("cycle") - F.col("_half")))).otherwise(0.0)
+    return M.features(d.withColumn("mean", F.col("mean") + away).select(*stats.columns), base)
+
+
 def signature_status(spark, sf):
+    """Every fifth cycle the second sensor is dead and takes no part."""
     cat = M.merge_signatures(catalogue(spark, sf))
-    return M.evaluate_signatures(M.signature_scores(M.indicators(feats(spark, sf)), cat))
+    f = faulty_feats(spark, sf)
+    dead = f.filter("cycle % 5 = 4").groupBy("cycle").agg(F.min("signal").alias("_first"), F.array_sort(F.collect_set("signal")).alias("s")).filter("size(s) > 1").select("cycle", F.get("s", F.lit(1)).alias("signal"))
+    return M.evaluate_signatures(M.signature_scores(M.indicators(f), cat, dead), f.select("cycle"))
 
 
 @query("m9_evaluate_signatures")
