@@ -3,33 +3,168 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 2_000_000  # above this many readings quantiles come from a mergeable sketch
-SKETCH_ACCURACY = 10_000
+from trustwatch.session import checkpoint_dir
 
+ACCURACY = 10_000
+"""Of the sketch that brackets a quantile; the quantile itself is counted out exactly."""
+AROUND = 3.0 / ACCURACY
+FEW_ROWS = 10_000
+"""A series of fewer rows is its own bracket."""
+SLICE = 1 << 20
+"""Distinct values that one task orders; a bracket with more of them is narrowed first."""
+BUCKETS = 1000
 
-def quantile(col: Column | str, p: float, exact: bool = True) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    if exact:
-        return F.percentile(c, F.lit(p))
-    return F.percentile_approx(c, F.lit(p), F.lit(SKETCH_ACCURACY)).cast("double")
 
+def quantile(col: Column | str, p: float) -> Column:
+    """Exact quantile of a group of bounded size (a chunk, a window, a cycle). For groups that grow with the data see ``group_quantiles``."""
+    return F.percentile(F.col(col) if isinstance(col, str) else col, F.lit(p))
 
-def quantiles(col: Column | str, ps: Sequence[float], exact: bool = True) -> Column:
-    """Several quantiles from one buffer, as an array in the order of ``ps``."""
-    c = F.col(col) if isinstance(col, str) else col
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, F.lit(SKETCH_ACCURACY)).cast("array<double>")
 
+# ------------------------------------------------------------------ quantiles at any size
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
-def use_exact(df: DataFrame, exact: bool | None = None, columns: int = 1) -> bool:
-    """Exact quantiles keep every distinct value of a signal in one buffer; a count decides when that stops."""
-    return exact if exact is not None else df.count() * columns <= EXACT_ROWS
+
+def _bracket_aggs(v: Column, ps: Sequence[float]) -> list[Column]:
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in ps for d in (-AROUND, AROUND)])
+    return [F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile_approx(v, ends, F.lit(ACCURACY)).alias("e")]
+
+
+def _place(v: Column, ends: Sequence[tuple[Column, Column]]) -> Column:
+    """Where a value lies among disjoint, ascending brackets: odd inside a bracket, even between two."""
+    return sum(((v >= lo).cast("int") + (v > hi).cast("int") for lo, hi in ends), F.lit(0))
+
+
+def _disjoint(pairs: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(pairs):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _narrowed(counts: DataFrame, keys: Sequence[str], ps: Sequence[float], limit: int) -> DataFrame:
+    """counts (keys, at, v, c) with the values that can't be at a wanted rank summed up, until no series has more than ``limit`` of them.
+
+    A series' values are cut into BUCKETS parts of about equally many distinct values; only parts that hold a wanted rank keep their values.
+    """
+    before = None
+    while True:
+        most = counts.groupBy(*keys).agg(F.count("v").alias("k")).agg(F.max("k")).first()[0] or 0
+        if most <= limit or most == before:
+            return counts
+        before = most
+        cuts = F.percentile_approx("v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(ACCURACY))
+        d = counts.join(counts.groupBy(*keys).agg(cuts.alias("cuts"), F.sum("c").alias("n")), list(keys)) if keys else counts.crossJoin(F.broadcast(counts.agg(cuts.alias("cuts"), F.sum("c").alias("n"))))
+        d = d.withColumn("part", F.when(F.col("v").isNotNull(), F.size(F.filter("cuts", lambda x: x < F.col("v")))).otherwise(0)).drop("cuts")
+        w = Window.partitionBy(*keys).orderBy("at", "part")
+        tops = d.groupBy(*keys, "at", "part").agg(F.sum("c").alias("m"), F.max("n").alias("n")).withColumn("upto", F.sum("m").over(w))
+        wanted = F.lit(False)
+        for p in ps:
+            r = F.lit(float(p)) * (F.col("n") - 1)
+            wanted = wanted | ((F.floor(r) < F.col("upto")) & (F.ceil(r) >= F.col("upto") - F.col("m")))
+        tops = tops.withColumn("wanted", wanted).withColumn("to", F.row_number().over(w))
+        d = d.join(tops.select(*keys, "at", "part", "wanted", "to"), [*keys, "at", "part"])
+        counts = d.groupBy(*keys, F.col("to").alias("at"), F.when(F.col("wanted"), F.col("v")).alias("v")).agg(F.sum("c").alias("c"))
+        counts = _kept(counts)
+
+
+def _picked(counts: DataFrame, keys: Sequence[str], ps: Sequence[float], limit: int | None = None) -> DataFrame:
+    """keys, n and q (array) from the counts of values (keys, at, v, c); v is null where only a count was kept, and q too if a rank falls there."""
+    counts = _narrowed(counts, keys, ps, limit or SLICE)
+    order = Window.partitionBy(*keys).orderBy("at", "v")
+    d = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    aggs = []
+    for i, p in enumerate(ps):
+        r = F.lit(float(p)) * (F.col("n") - 1)
+        for name, rank in (("l", F.floor(r)), ("u", F.ceil(r))):
+            aggs.append(F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")), F.col("v"))).alias(f"{name}{i}"))
+    got = d.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    values = []
+    for i, p in enumerate(ps):
+        r = F.lit(float(p)) * (F.col("n") - 1)
+        lo, hi = F.col(f"l{i}"), F.col(f"u{i}")
+        values.append(F.when(lo == hi, lo).otherwise((F.ceil(r) - r) * lo + (r - F.floor(r)) * hi))
+    return got.select(*keys, "n", F.array(*values).alias("q"))
+
+
+def wide_quantiles(df: DataFrame, columns: dict[str, Column], ps: Sequence[float]) -> DataFrame:
+    """feature, n and q: the exact quantiles ``ps`` of each column over all rows (linear between ranks, nulls left out), at any number of rows.
+
+    One pass brackets every quantile by a mergeable sketch (a few numbers per column meet on the driver), a second one counts: values
+    inside a bracket one by one, those between brackets together. Nothing but these counts is shuffled. A rank that the sketch should have
+    missed is found by counting all values of its column.
+    """
+    spark = df.sparkSession
+    schema = "feature string, n long, q array<double>"
+    names = list(columns)
+    if not names:
+        return spark.createDataFrame([], schema)
+    data = df.select(*[c.cast("double").alias(f"_{i}") for i, c in enumerate(columns.values())])
+    found = data.agg(*[F.struct(*_bracket_aggs(F.col(f"_{i}"), ps)).alias(f"_{i}") for i in range(len(names))]).first()
+    some = [i for i in range(len(names)) if found[f"_{i}"].n]
+    pairs = {}
+    for i in some:
+        r = found[f"_{i}"]
+        pairs[i] = _disjoint([(r.lo, r.hi)]) if r.n < FEW_ROWS else _disjoint([(r.e[2 * k], r.e[2 * k + 1]) for k in range(len(ps))])
+
+    def counted(which: dict[int, list[tuple[float, float]]]) -> DataFrame:
+        cells = []
+        for i, ends in which.items():
+            v = F.col(f"_{i}")
+            at = _place(v, [(F.lit(float(lo)), F.lit(float(hi))) for lo, hi in ends])
+            cells.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), at.alias("at"), F.when(at % 2 == 1, v).alias("v"))))
+        long = data.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+        return _picked(long.groupBy("i", "at", "v").agg(F.count(F.lit(1)).alias("c")), ["i"], ps)
+
+    rows = {r.i: r for r in (counted(pairs).collect() if pairs else [])}  # a row per column
+    missed = {i: [(found[f"_{i}"].lo, found[f"_{i}"].hi)] for i, r in rows.items() if None in r.q}
+    if missed:
+        rows |= {r.i: r for r in counted(missed).collect()}
+    return spark.createDataFrame([(n, int(found[f"_{i}"].n), list(rows[i].q) if i in rows else [None] * len(ps)) for i, n in enumerate(names)], schema)
+
+
+def group_quantiles(df: DataFrame, by: Sequence[str], value: Column | str, ps: Sequence[float]) -> DataFrame:
+    """by, n and q: the exact quantiles of ``value`` in each group, for groups of any size and number (nulls left out; groups without values are missing).
+
+    As ``wide_quantiles``, but brackets stay a table and meet the rows by key.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    if not by:
+        return wide_quantiles(df, {"": v}, ps).filter("n > 0").drop("feature")
+    data = df.select(*by, v.alias("_v")).filter("_v IS NOT NULL")
+    b = data.groupBy(*by).agg(*_bracket_aggs(F.col("_v"), ps))
+    few = F.col("n") < FEW_ROWS
+    # brackets in ascending order of ps; an end never lies before the bracket below, so they are disjoint but for shared ends
+    order = sorted(range(len(ps)), key=lambda k: ps[k])
+    ends = []
+    for j, k in enumerate(order):
+        lo = F.when(few, F.col("lo") if j == 0 else None).otherwise(F.get("e", F.lit(2 * k)))
+        hi = F.when(few, F.col("hi") if j == 0 else None).otherwise(F.get("e", F.lit(2 * k + 1)))
+        ends += [lo.alias(f"_lo{j}"), hi.alias(f"_hi{j}")]
+    d = data.join(b.select(*by, *ends), list(by))
+    inside = reduce(or_, [F.coalesce(F.col("_v").between(F.col(f"_lo{j}"), F.col(f"_hi{j}")), F.lit(False)) for j in range(len(ps))])
+    below = sum((F.coalesce((F.col("_v") > F.col(f"_hi{j}")).cast("int"), F.lit(0)) for j in range(len(ps))), F.lit(0))
+    # overlapping brackets: what is inside any is kept by value, and a value's place must not fall with the value
+    at = F.when(inside, F.lit(None)).otherwise(below)
+    counts = d.select(*by, at.alias("gap"), F.when(inside, F.col("_v")).alias("v"), F.col("_v").alias("_w")).groupBy(*by, "gap", "v").agg(F.count(F.lit(1)).alias("c"), F.min("_w").alias("first"))
+    counts = counts.select(*by, F.col("first").alias("at"), "v", "c")
+    got = _kept(_picked(counts, list(by), ps))
+    missed = got.filter(F.exists("q", lambda x: x.isNull())).select(*by)
+    if missed.isEmpty():
+        return got
+    whole = data.join(missed, list(by), "left_semi").groupBy(*by, F.col("_v").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("at", F.col("v"))
+    return got.join(missed, list(by), "left_anti").unionByName(_picked(whole.select(*by, "at", "v", "c"), list(by), ps))
 
 
 def finite(c: Column) -> Column:
@@ -44,28 +179,43 @@ def robust_scale(mad: Column, q01: Column, q25: Column, q75: Column, q99: Column
     return F.coalesce(from_mad, spread, F.when(std > 0, std), F.lit(0.0))
 
 
-def signal_stats(long: DataFrame, by: Sequence[str] = ("signal",), value: str = "value", exact: bool = True) -> DataFrame:
-    """One row per signal: counts, moments, quantiles, MAD and the robust scale (two partial-aggregate passes)."""
+STAT_QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+
+
+def signal_stats(long: DataFrame, by: Sequence[str] = ("signal",), value: str = "value") -> DataFrame:
+    """One row per signal: counts, moments, quantiles, MAD and the robust scale. Exact at any size; only counts are shuffled."""
     v = F.col(value)
-    first = long.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        quantiles(v, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), exact).alias("_q"))
-    first = first.select("*", *[F.get("_q", F.lit(i)).alias(a) for i, a in enumerate(("q01", "q05", "q25", "median", "q75", "q95", "q99"))]).drop("_q")
-    mad = (long.filter(v.isNotNull()).join(F.broadcast(first.select(*by, "median")), list(by)).groupBy(*by)
-           .agg(quantile(F.abs(v - F.col("median")), 0.5, exact).alias("mad")))
-    s = first.join(mad, list(by), "left")
+    first = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    q = group_quantiles(long, by, v, list(STAT_QUANTILES.values())).select(*by, *[F.get("q", F.lit(i)).alias(a) for i, a in enumerate(STAT_QUANTILES)])
+    dev = long.filter(v.isNotNull()).join(q.select(*by, F.col("median").alias("_med")), list(by)).withColumn("_dev", F.abs(v - F.col("_med")))
+    mad = group_quantiles(dev, by, "_dev", [0.5]).select(*by, F.get("q", F.lit(0)).alias("mad"))
+    s = first.join(q, list(by), "left").join(mad, list(by), "left")
     return s.withColumn("scale", robust_scale(F.col("mad"), F.col("q01"), F.col("q25"), F.col("q75"), F.col("q99"), F.col("std")))
 
 
-def robust_threshold(by: Sequence[str], df: DataFrame, score: str, q: float = 0.995, margin: float = 1.1, exact: bool = True) -> DataFrame:
-    """min(q, max(q75 + 3 IQR, q90)) times the margin, at least 1.5 medians."""
-    s = F.col(score)
-    a = df.groupBy(*by).agg(quantiles(s, (q, 0.9, 0.75, 0.25, 0.5), exact).alias("_a"), F.count(s).alias("n"))
-    a = a.select("*", *[F.get("_a", F.lit(i)).alias(x) for i, x in enumerate(("_q", "_q90", "_q75", "_q25", "_q50"))])
-    fence = F.greatest(F.col("_q75") + 3 * (F.col("_q75") - F.col("_q25")), F.col("_q90"))
-    thr = F.greatest(F.least(F.col("_q"), fence) * margin, F.lit(1.5) * F.col("_q50"), F.lit(1e-6))
-    return a.select(*by, "n", thr.alias("threshold"))
+def wide_stats(wide: DataFrame, columns: dict[str, Column], name: str = "signal") -> DataFrame:
+    """``signal_stats`` of the columns of a wide table, without unpivoting it: one row per column."""
+    spark = wide.sparkSession
+    d = wide.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())])
+    cols = {n: F.col(f"c{i}") for i, n in enumerate(columns)}
+    first = d.agg(F.count(F.lit(1)).alias("n_rows"), *[F.struct(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(f"s{i}") for i, c in enumerate(cols.values())]).first()
+    q = {r.feature: r.q for r in wide_quantiles(d, cols, list(STAT_QUANTILES.values())).collect()}
+    mid = list(STAT_QUANTILES).index("median")
+    mad = {r.feature: r.q[0] for r in wide_quantiles(d, {n: F.abs(c - F.lit(q[n][mid])) if q[n][mid] is not None else F.lit(None) for n, c in cols.items()}, [0.5]).collect()}
+    rows = [(n, first.n_rows, *[first[f"s{i}"][k] for k in ("n", "min", "max", "mean", "std")], *q[n], mad[n]) for i, n in enumerate(columns)]
+    s = spark.createDataFrame(rows, f"{name} string, n_rows long, n long, min double, max double, mean double, std double, " + ", ".join(f"{a} double" for a in STAT_QUANTILES) + ", mad double")
+    return s.withColumn("scale", robust_scale(F.col("mad"), F.col("q01"), F.col("q25"), F.col("q75"), F.col("q99"), F.col("std")))
+
+
+def threshold_of(q: Column, margin: float = 1.1) -> Column:
+    """min(q, max(q75 + 3 IQR, q90)) times the margin, at least 1.5 medians. ``q``: quantiles (q, 0.9, 0.75, 0.25, 0.5)."""
+    at = lambda i: F.get(q, F.lit(i))
+    fence = F.greatest(at(2) + 3 * (at(2) - at(3)), at(1))
+    return F.greatest(F.least(at(0), fence) * margin, F.lit(1.5) * at(4), F.lit(1e-6))
+
+
+def robust_threshold(by: Sequence[str], df: DataFrame, score: str, q: float = 0.995, margin: float = 1.1) -> DataFrame:
+    return group_quantiles(df, by, score, (q, 0.9, 0.75, 0.25, 0.5)).select(*by, "n", threshold_of(F.col("q"), margin).alias("threshold"))
 
 
 def confidence(n: Column, ratio: Column | None = None) -> Column:
@@ -93,22 +243,15 @@ def common_mode_k(n_signals: int) -> int:
     return min(3, max(2, -(-n_signals // 10)))
 
 
-def average_ranks(long: DataFrame, by: Sequence[str], value: str = "value", buckets: int = 8192) -> DataFrame:
-    """(by, value) -> average rank and number of ties. Values are counted first; the running count is taken in two
-    levels (equal-width buckets of the value range), so neither a large signal nor a heavy tie needs one task."""
-    from pyspark.sql import Window
-
+def average_ranks(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """(by, value) -> average rank and number of ties. Distinct values are counted, dealt to partitions by range (bounds are sampled, so outliers
+    don't gather the rest in one place), and ranked in two levels: totals of a series per partition, then inside each partition."""
     c = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    lim = c.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    if by:
-        c = c.join(lim, list(by))
-    else:
-        c = c.crossJoin(F.broadcast(lim))
-    b = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0).cast("long")
-    c = c.withColumn("_b", b).drop("_lo", "_hi")
-    tops = c.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*by, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = c.join(tops, [*by, "_b"])
+    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = _kept(c.repartitionByRange(n, *by, value).withColumn("_part", F.spark_partition_id()))
+    tops = c.groupBy(*by, "_part").agg(F.sum("_c").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = c.join(tops, [*by, "_part"])
     return d.select(*by, value, (F.col("_o") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias("rank"), F.col("_c").alias("ties"))

@@ -178,7 +178,7 @@ def project_units(vectors: DataFrame, centers: DataFrame, key: str, vec: str = "
     """Nearest centroid of each unit; novel when farther than the 95th percentile. Centroids are a handful of rows."""
     d = vectors.select(id_col, vec).crossJoin(F.broadcast(centers.select(key, "centroid"))).groupBy(id_col).agg(F.min(F.struct(distance(F.col(vec), F.col("centroid")).alias("d"), F.col(key).alias("k"))).alias("b"))
     d = d.select(id_col, F.col("b.k").alias(key), F.col("b.d").alias("distance"))
-    lim = d.agg(F.percentile("distance", F.lit(q)).alias("_l"))
+    lim = S.wide_quantiles(d, {"distance": F.col("distance")}, [q]).select(F.get("q", F.lit(0)).alias("_l"))
     return d.crossJoin(F.broadcast(lim)).withColumn("novel", F.col("distance") > F.col("_l")).drop("_l")
 
 
@@ -230,7 +230,7 @@ def assess_new_table(new: DataFrame, old_vectors: DataFrame, centers: DataFrame,
     """Mapped share of the signals, missing share, and how many of its units are novel."""
     mapped = [s for s in signals if s in new.columns]
     miss = new.agg(*[F.avg(F.col(s).isNull().cast("double")).alias(s) for s in mapped]).select((sum((F.col(s) for s in mapped), F.lit(0.0)) / max(1, len(mapped))).alias("missing_share"))
-    lim = project_units(old_vectors, centers, "regime").agg(F.percentile("distance", F.lit(0.95)).alias("_l"))
+    lim = S.wide_quantiles(project_units(old_vectors, centers, "regime"), {"distance": F.col("distance")}, [0.95]).select(F.get("q", F.lit(0)).alias("_l"))
     p = project_units(vectors, centers, "regime").crossJoin(F.broadcast(lim)).agg(F.count(F.lit(1)).alias("n_units"), F.avg((F.col("distance") > F.col("_l")).cast("double")).alias("novelty"))
     return p.crossJoin(miss).withColumn("mapped_share", F.lit(len(mapped) / len(signals))).withColumn("compatible", F.col("mapped_share") >= 0.8)
 
@@ -250,9 +250,9 @@ def combined_score(fitness: float, coverage: DataFrame, dq: DataFrame) -> DataFr
     return coverage.select("balance").crossJoin(q).select((0.4 * F.lit(fitness) + 0.3 * F.col("balance") + 0.3 * F.col("dq")).alias("combined"))
 
 
-def fit_score_subset(wide: DataFrame, signals: Sequence[str], train: Sequence[str], exact: bool = True) -> DataFrame:
+def fit_score_subset(wide: DataFrame, signals: Sequence[str], train: Sequence[str]) -> DataFrame:
     """Fit on some groups, summarise the scores of the others."""
-    m = detect.fit_model(wide.filter(F.col("grp").isin(list(train))), signals, ("robust_z",), exact=exact, trim=False)
+    m = detect.fit_model(wide.filter(F.col("grp").isin(list(train))), signals, ("robust_z",), trim=False)
     s = detect.score_rows(wide.filter(~F.col("grp").isin(list(train))), m)
     return s.groupBy("grp").agg(F.avg((F.col("score") >= 1).cast("double")).alias("flagged_share"), F.max("score").alias("max_score"))
 

@@ -17,11 +17,11 @@ from trustwatch.operators.quality import once
 BINS = 200
 
 
-def zscores(wide: DataFrame, signals: Sequence[str], exact: bool = True) -> DataFrame:
+def zscores(wide: DataFrame, signals: Sequence[str]) -> DataFrame:
     """Signals standardised by median and robust scale, clipped at 10, gaps as 0; columns z_<signal>."""
     from trustwatch.operators.detect import _rows, scale_table
 
-    t = _rows(scale_table(wide, signals, exact))
+    t = _rows(scale_table(wide, signals))
     z = [F.least(F.lit(10.0), F.greatest(F.lit(-10.0), F.coalesce((F.col(s) - F.lit(t[s]["med"])) / F.lit(max(t[s]["scale"], 1e-6)), F.lit(0.0)))).alias(f"z_{s}") for s in signals]
     return wide.select("grp", "row", "pos", *z)
 
@@ -58,10 +58,10 @@ def otsu(d: DataFrame, col: str, bins: int = 128) -> DataFrame:
     return h.withColumn("g", between).agg((F.max_by("lo", F.struct("g", -F.col("bin"))) + (F.max_by("bin", F.struct("g", -F.col("bin"))) + 1) * F.max(step)).alias("otsu"))
 
 
-def baseline_modes(z: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def baseline_modes(z: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows where most signals sit near their density mode (threshold by Otsu, clamped to the 10-70 % quantiles)."""
     t = typicality(z, cols)
-    q = t.agg(S.quantile("typ", 0.1, exact).alias("lo"), S.quantile("typ", 0.7, exact).alias("hi")).crossJoin(F.broadcast(otsu(t, "typ")))
+    q = S.wide_quantiles(t, {"typ": F.col("typ")}, (0.1, 0.7)).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi")).crossJoin(F.broadcast(otsu(t, "typ")))
     thr = q.select(F.least(F.greatest("otsu", "lo"), F.col("hi")).alias("thr"))
     return t.crossJoin(F.broadcast(thr)).select("row", "grp", "pos", (F.col("typ") >= F.col("thr")).alias("in_baseline"))
 
@@ -144,7 +144,7 @@ def baseline_dense(z: DataFrame, cols: Sequence[str], window: int, k: int = 4, m
     return z.withColumn("win", win).join(keep, ["grp", "win"], "left").select("row", "grp", "pos", F.coalesce("_in", F.lit(False)).alias("in_baseline"))
 
 
-def baseline_ellipsoid(z: DataFrame, cols: Sequence[str], support: float = 0.7, steps: int = 3, exact: bool = True) -> DataFrame:
+def baseline_ellipsoid(z: DataFrame, cols: Sequence[str], support: float = 0.7, steps: int = 3) -> DataFrame:
     """Robust ellipsoid by concentration steps: covariance of the kept rows, distances of all rows, keep the closest 70 %."""
     from trustwatch.operators.detect import _gram
 
@@ -154,11 +154,11 @@ def baseline_ellipsoid(z: DataFrame, cols: Sequence[str], support: float = 0.7,
         inv = np.linalg.inv(cov + 1e-3 * np.eye(len(cols)))
         x = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, mu)]
         dist = sum((F.lit(float(inv[i, j])) * x[i] * x[j] for i in range(len(cols)) for j in range(len(cols))), F.lit(0.0))
-        cut = z.agg(S.quantile(dist, support, exact).alias("q")).first()["q"]
+        cut = S.wide_quantiles(z, {"d": dist}, [support]).first().q[0]
         cur = z.filter(dist <= F.lit(cut))
     p = len(cols)
     chi2 = p * (1 - 2 / (9 * p) + 1.96 * (2 / (9 * p)) ** 0.5) ** 3  # 97.5 % point, Wilson-Hilferty
-    med = z.agg(S.quantile(dist, 0.5, exact).alias("q")).first()["q"]
+    med = S.wide_quantiles(z, {"d": dist}, [0.5]).first().q[0]
     scale = med / (p * (1 - 2 / (9 * p)) ** 3)
     return z.select("row", "grp", "pos", (dist / F.lit(max(scale, 1e-9)) <= F.lit(chi2)).alias("in_baseline"))
 
@@ -204,11 +204,11 @@ def baseline_reference(df: DataFrame, ranges: Sequence[tuple[int, int]] = (), gr
     return df.select("row", "grp", "pos", c.alias("in_baseline"))
 
 
-def estimate_baseline(wide: DataFrame, signals: Sequence[str], window: int = 20, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+def estimate_baseline(wide: DataFrame, signals: Sequence[str], window: int = 20) -> tuple[DataFrame, DataFrame]:
     """(smoothed rows of the best candidate, candidate scores)."""
-    z = once(zscores(wide, signals, exact))
+    z = once(zscores(wide, signals))
     cols = [f"z_{s}" for s in signals]
-    cands = {"modes": baseline_modes(z, cols, exact), "prechange": baseline_prechange(z, cols[0], window), "ellipsoid": baseline_ellipsoid(z, cols, exact=exact)}
+    cands = {"modes": baseline_modes(z, cols), "prechange": baseline_prechange(z, cols[0], window), "ellipsoid": baseline_ellipsoid(z, cols)}
     scores = score_baselines(cands, z, cols)
     best = scores.orderBy(F.desc("score"), "candidate").first()["candidate"]
     return smooth_mask(cands[best], window, window // 2), scores

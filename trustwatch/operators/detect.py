@@ -46,14 +46,16 @@ class Spec:
         return [fname(b, s) for b in (blocks or BLOCKS) for s in self.signals]
 
 
-def scale_table(wide: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Per column: median, mean and max(1.4826 MAD, std / 2, q99 of the deviation / 5)."""
-    long = wide.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "value").filter("value is not null")
-    a = long.groupBy("feature").agg(S.quantile("value", 0.5, exact).alias("med"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    dev = F.abs(F.col("value") - F.col("med"))
-    b = long.join(F.broadcast(a.select("feature", "med")), "feature").groupBy("feature").agg(S.quantiles(dev, (0.5, 0.99), exact).alias("_q"))
-    b = b.select("feature", F.get("_q", F.lit(0)).alias("mad"), F.get("_q", F.lit(1)).alias("q99"))
-    return a.join(b, "feature").select("feature", "med", "mean", F.greatest(1.4826 * F.col("mad"), 0.5 * F.col("std"), F.col("q99") / 5.0).alias("scale"))
+def scale_table(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per column: median, mean and max(1.4826 MAD, std / 2, q99 of the deviation / 5). The wide rows are read as they are; only counts are shuffled."""
+    x = {c: F.col(c).cast("double") for c in cols}
+    moments = wide.agg(*[F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")).alias(f"_{i}") for i, v in enumerate(x.values())]).first()
+    med = {r.feature: r.q[0] for r in S.wide_quantiles(wide, x, [0.5]).collect()}
+    known = [c for c in cols if med.get(c) is not None]
+    dev = {r.feature: r.q for r in S.wide_quantiles(wide, {c: F.abs(x[c] - F.lit(med[c])) for c in known}, [0.5, 0.99]).collect()}
+    at = {c: moments[f"_{i}"] for i, c in enumerate(cols)}
+    rows = [(c, med[c], at[c].mean, max(1.4826 * dev[c][0], 0.5 * at[c].std, dev[c][1] / 5.0)) for c in known]
+    return wide.sparkSession.createDataFrame(rows, "feature string, med double, mean double, scale double")
 
 
 def _rows(t: DataFrame) -> dict[str, dict]:
@@ -83,15 +85,15 @@ def _raw_blocks(wide: DataFrame, spec: Spec, keep: Sequence[str] = ()) -> DataFr
     return ordered.with_windows(d, ["grp"], cols, before=max(2, spec.window - 1))
 
 
-def fit_features(wide: DataFrame, signals: Sequence[str], window: int = 20, mask: Column | None = None, exact: bool = True) -> Spec:
+def fit_features(wide: DataFrame, signals: Sequence[str], window: int = 20, mask: Column | None = None) -> Spec:
     """Centres and scales of the raw signals and of the five feature blocks, on the baseline rows only."""
     base = wide.filter(mask) if mask is not None else wide
-    raw = _rows(scale_table(base, signals, exact))
+    raw = _rows(scale_table(base, signals))
     spec = Spec(list(signals), window, {s: (raw[s]["med"], max(raw[s]["scale"], 1e-6)) for s in signals})
     keep = ["_mask"] if mask is not None else []
     src = wide.withColumn("_mask", mask) if mask is not None else wide
     b = _raw_blocks(src, spec, keep)
-    t = _rows(scale_table(b.filter("_mask") if keep else b, spec.names(*BLOCKS[1:]), exact))
+    t = _rows(scale_table(b.filter("_mask") if keep else b, spec.names(*BLOCKS[1:])))
     for n in spec.names(*BLOCKS[1:]):
         r = t.get(n, {"med": 0.0, "scale": 0.0})
         spec.blocks[n] = (r["med"], max(r["scale"], 1e-3, 0.05 if n.split("__")[0] in ("d1", "d2", "rstd") else 0.0))
@@ -106,11 +108,10 @@ def features(wide: DataFrame, spec: Spec, keep: Sequence[str] = ()) -> DataFrame
     return d.select(*ID, *keep, *out)
 
 
-def feature_extreme(feats: DataFrame, cols: Sequence[str], floor: float, exact: bool = True) -> DataFrame:
+def feature_extreme(feats: DataFrame, cols: Sequence[str], floor: float) -> DataFrame:
     """Normal extreme of |feature|: max(min(q995, max(q75 + 3 IQR, q90)), 2 medians, floor)."""
-    long = feats.select(*cols).unpivot([], list(cols), "feature", "value").withColumn("a", F.abs("value"))
-    q = long.groupBy("feature").agg(S.quantiles("a", (0.995, 0.9, 0.75, 0.25, 0.5), exact).alias("_q"))
-    q = q.select("feature", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q995", "q90", "q75", "q25", "q50"))])
+    q = S.wide_quantiles(feats, {c: F.abs(F.col(c)) for c in cols}, (0.995, 0.9, 0.75, 0.25, 0.5)).filter("n > 0")
+    q = q.select("feature", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q995", "q90", "q75", "q25", "q50"))])
     fence = F.greatest(F.col("q75") + 3 * (F.col("q75") - F.col("q25")), F.col("q90"))
     return q.select("feature", F.greatest(F.least(F.col("q995"), fence), 2 * F.col("q50"), F.lit(float(floor))).alias("extreme"))
 
@@ -132,19 +133,19 @@ def _base(feats: DataFrame, mask: str | None) -> DataFrame:
     return feats.filter(mask) if mask else feats
 
 
-def _fit_linear(feats: DataFrame, cols: Sequence[str], mask: str | None, center: str, exact: bool) -> Linear:
-    t = _rows(scale_table(_base(feats, mask), cols, exact))
+def _fit_linear(feats: DataFrame, cols: Sequence[str], mask: str | None, center: str) -> Linear:
+    t = _rows(scale_table(_base(feats, mask), cols))
     return Linear({c: t[c][center] for c in cols}, {c: max(t[c]["scale"], 0.25) for c in cols})
 
 
-def _extremes(d: DataFrame, cols: Sequence[str], floor: float, exact: bool) -> dict[str, float]:
-    return {r["feature"]: r["extreme"] for r in feature_extreme(d, cols, floor, exact).collect()}
+def _extremes(d: DataFrame, cols: Sequence[str], floor: float) -> dict[str, float]:
+    return {r["feature"]: r["extreme"] for r in feature_extreme(d, cols, floor).collect()}
 
 
-def fit_robust_z(feats: DataFrame, spec: Spec, mask: str | None = None, exact: bool = True) -> Linear:
+def fit_robust_z(feats: DataFrame, spec: Spec, mask: str | None = None) -> Linear:
     cols = spec.names("value", "rstd")
-    m = _fit_linear(feats, cols, mask, "med", exact)
-    m.q = _extremes(_base(feats, mask).select(*[m.z(c).alias(c) for c in cols]), cols, 2.0, exact)
+    m = _fit_linear(feats, cols, mask, "med")
+    m.q = _extremes(_base(feats, mask).select(*[m.z(c).alias(c) for c in cols]), cols, 2.0)
     return m
 
 
@@ -168,9 +169,9 @@ def _ewma(feats: DataFrame, m: Linear, lam: float) -> DataFrame:
     return e.select(*[c for c in e.columns if c in (*ID, "in_baseline")], *[(F.col(f"_e{i}") / F.lit(limit)).alias(c) for i, c in enumerate(cols)])
 
 
-def fit_ewma(feats: DataFrame, spec: Spec, mask: str | None = None, lam: float = 0.15, exact: bool = True) -> Linear:
-    m = _fit_linear(feats, spec.names("value", "rstd"), mask, "mean", exact)
-    m.q = _extremes(_base(_ewma(feats, m, lam), mask), list(m.center), 1.0, exact)
+def fit_ewma(feats: DataFrame, spec: Spec, mask: str | None = None, lam: float = 0.15) -> Linear:
+    m = _fit_linear(feats, spec.names("value", "rstd"), mask, "mean")
+    m.q = _extremes(_base(_ewma(feats, m, lam), mask), list(m.center), 1.0)
     return m
 
 
@@ -187,9 +188,9 @@ def _cusum(feats: DataFrame, m: Linear, k: float, cap: float) -> DataFrame:
     return r.select(*[c for c in r.columns if c in (*ID, "in_baseline")], *[F.least(F.lit(cap), F.greatest(f"_u{i}", f"_d{i}")).alias(c) for i, c in enumerate(cols)])
 
 
-def fit_cusum(feats: DataFrame, spec: Spec, mask: str | None = None, k: float = 1.0, cap: float = 30.0, exact: bool = True) -> Linear:
-    m = _fit_linear(feats, spec.names("value", "rstd"), mask, "mean", exact)
-    m.q = _extremes(_base(_cusum(feats, m, k, cap), mask), list(m.center), 0.1 * cap, exact)
+def fit_cusum(feats: DataFrame, spec: Spec, mask: str | None = None, k: float = 1.0, cap: float = 30.0) -> Linear:
+    m = _fit_linear(feats, spec.names("value", "rstd"), mask, "mean")
+    m.q = _extremes(_base(_cusum(feats, m, k, cap), mask), list(m.center), 0.1 * cap)
     return m
 
 
@@ -239,7 +240,7 @@ def _pca_raw(feats: DataFrame, m: Pca, signals: Sequence[str], keep: Sequence[st
     return feats.select(*keep, *m.cols).mapInPandas(run, schema)
 
 
-def fit_pca(feats: DataFrame, spec: Spec, mask: str | None = None, explained: float = 0.9, max_components: int = 40, exact: bool = True) -> Pca:
+def fit_pca(feats: DataFrame, spec: Spec, mask: str | None = None, explained: float = 0.9, max_components: int = 40) -> Pca:
     cols = spec.names("value", "rmean", "rstd")
     n, mu, cov = _gram(_base(feats, mask), cols)
     w, v = np.linalg.eigh(cov * n / max(n - 1, 1) + np.eye(len(cols)) * 1e-4)
@@ -247,8 +248,8 @@ def fit_pca(feats: DataFrame, spec: Spec, mask: str | None = None, explained: fl
     k = int(np.searchsorted(np.cumsum(w) / w.sum(), explained) + 1)
     k = max(2, min(k, max_components, len(cols) - 1))
     m = Pca(cols, mu, v[:, :k], w[:k])
-    q = _pca_raw(_base(feats, mask), m, spec.signals, ID).agg(S.quantile("t2", 0.99, exact).alias("a"), S.quantile("spe", 0.99, exact).alias("b")).first()
-    m.t2_ref, m.spe_ref = max(q["a"], 1e-3), max(q["b"], 1e-3)
+    q = {r.feature: r.q[0] for r in S.wide_quantiles(_pca_raw(_base(feats, mask), m, spec.signals, ID), {"t2": F.col("t2"), "spe": F.col("spe")}, [0.99]).collect()}
+    m.t2_ref, m.spe_ref = max(q["t2"] or 0.0, 1e-3), max(q["spe"] or 0.0, 1e-3)
     return m
 
 
@@ -270,7 +271,7 @@ def _residuals(feats: DataFrame, m: Ridge) -> DataFrame:
     return feats.select(*keep, *res)
 
 
-def fit_corr_break(feats: DataFrame, spec: Spec, mask: str | None = None, peers: int = 8, lam: float = 0.08, exact: bool = True) -> Ridge:
+def fit_corr_break(feats: DataFrame, spec: Spec, mask: str | None = None, peers: int = 8, lam: float = 0.08) -> Ridge:
     """Each signal predicted from its most correlated peers by ridge regression on one Gram matrix."""
     cols = spec.names("value")
     n, mu, cov = _gram(_base(feats, mask), cols)
@@ -288,9 +289,9 @@ def fit_corr_break(feats: DataFrame, spec: Spec, mask: str | None = None, peers:
         return m
     r = _residuals(feats, m)
     targets = list(m.coef)
-    m.q = _extremes(_base(r, mask), targets, 1.0, exact)
+    m.q = _extremes(_base(r, mask), targets, 1.0)
     e = ordered.ewma(r, ["grp"], {f"_e{i}": F.col(c) for i, c in enumerate(targets)}, lam)
-    m.qe = dict(zip(targets, _extremes(_base(e, mask), [f"_e{i}" for i in range(len(targets))], 0.2, exact).values()))
+    m.qe = dict(zip(targets, _extremes(_base(e, mask), [f"_e{i}" for i in range(len(targets))], 0.2).values()))
     return m
 
 
@@ -443,20 +444,21 @@ def score_detectors(feats: DataFrame, m: Model) -> DataFrame:
     return out.select("grp", "row", "pos", *names, raw.alias("raw"), (raw / F.lit(m.ensemble)).alias("score"), *[c.alias(f"share_{s}") for s, c in shares.items()])
 
 
-def fit_model(wide: DataFrame, signals: Sequence[str], detectors: Sequence[str] = ("robust_z", "ewma", "cusum"), window: int = 20, mask: Column | None = None, exact: bool = True, trim: bool = True) -> Model:
+def fit_model(wide: DataFrame, signals: Sequence[str], detectors: Sequence[str] = ("robust_z", "ewma", "cusum"), window: int = 20, mask: Column | None = None, trim: bool = True) -> Model:
     """Fit, drop baseline rows beyond their own fence (when they are few), refit, calibrate."""
     src = wide.withColumn("in_baseline", mask if mask is not None else F.lit(True))
-    spec = fit_features(src, signals, window, F.col("in_baseline"), exact)
+    spec = fit_features(src, signals, window, F.col("in_baseline"))
     feats = once(features(src, spec, ["in_baseline"]))
-    m = Model(spec, {n: DETECTORS[n][0](feats, spec, "in_baseline", exact=exact) for n in detectors}, {})
+    m = Model(spec, {n: DETECTORS[n][0](feats, spec, "in_baseline") for n in detectors}, {})
 
     def calibrate() -> None:
         m.thresholds, m.ensemble = {}, 1.0
         s = score_detectors(feats, m).join(feats.filter("in_baseline").select("grp", "row"), ["grp", "row"], "left_semi")
-        long = s.select(*detectors).unpivot([], list(detectors), "detector", "score")
-        m.thresholds = {r["detector"]: r["threshold"] for r in S.robust_threshold(["detector"], long, "score", exact=exact).collect()}
+        s = once(s.select(*detectors))
+        q = S.wide_quantiles(s, {n: F.col(n) for n in detectors}, (0.995, 0.9, 0.75, 0.25, 0.5))
+        m.thresholds = {r["feature"]: r["t"] for r in q.select("feature", S.threshold_of(F.col("q")).alias("t")).collect()}
         raw = combine([F.col(n) / F.lit(m.thresholds[n]) for n in detectors])
-        m.ensemble = max(s.agg(S.quantile(raw, 0.99, exact).alias("q")).first()["q"], 1e-6)
+        m.ensemble = max(S.wide_quantiles(s, {"raw": raw}, [0.99]).first().q[0] or 0.0, 1e-6)
 
     calibrate()
     if trim:
@@ -465,7 +467,7 @@ def fit_model(wide: DataFrame, signals: Sequence[str], detectors: Sequence[str]
         if 0 < share < 0.4:
             flags = hot.withColumn("_hot", F.lit(1))
             feats = feats.join(flags, ["grp", "row"], "left").withColumn("in_baseline", F.col("in_baseline") & F.col("_hot").isNull()).drop("_hot")
-            m.fitted = {n: DETECTORS[n][0](feats, spec, "in_baseline", exact=exact) for n in detectors}
+            m.fitted = {n: DETECTORS[n][0](feats, spec, "in_baseline") for n in detectors}
             calibrate()
     return m
 

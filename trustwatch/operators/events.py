@@ -30,9 +30,9 @@ def sustained(scores: DataFrame, w: int, thr: float) -> DataFrame:
     return window_median(scores, w).withColumn("sustained", F.col("med") >= thr).drop("med")
 
 
-def sustained_threshold(scores: DataFrame, w: int, exact: bool = True) -> DataFrame:
+def sustained_threshold(scores: DataFrame, w: int) -> DataFrame:
     """Robust threshold of the window median on baseline rows, clamped to 0.5..1.0."""
-    t = S.robust_threshold([], window_median(scores, w), "med", exact=exact)
+    t = S.robust_threshold([], window_median(scores, w), "med")
     return t.select("n", F.least(F.lit(1.0), F.greatest(F.lit(0.5), F.col("threshold"))).alias("threshold"))
 
 

@@ -15,18 +15,16 @@ from pyspark.sql import functions as F
 from trustwatch.functions import stats as S
 from trustwatch.operators import ordered
 from trustwatch.operators.graph import connected_components
+from trustwatch.operators.quality import once
 
 
 # ------------------------------------------------------------------ aggregates
-def global_stats(long: DataFrame, exact: bool = True) -> DataFrame:
+def global_stats(long: DataFrame) -> DataFrame:
     """Counts, moments, quantiles, bias-corrected skewness and kurtosis, distinct values, integer test, per signal."""
     v = F.col("value")
-    st = S.signal_stats(long, exact=exact)
+    st = S.signal_stats(long)
     n = F.col("n").cast("double")
-    if exact:
-        nu = long.filter(v.isNotNull()).groupBy("signal", "value").agg(F.lit(1).alias("_")).groupBy("signal").agg(F.count(F.lit(1)).alias("n_unique"))
-    else:
-        nu = long.groupBy("signal").agg(F.approx_count_distinct("value").alias("n_unique"))
+    nu = long.filter(v.isNotNull()).groupBy("signal", "value").agg(F.lit(1).alias("_")).groupBy("signal").agg(F.count(F.lit(1)).alias("n_unique"))
     mom = long.groupBy("signal").agg(F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"), F.sum((v != F.floor(v)).cast("long")).alias("_frac"))
     d = st.join(mom, "signal").join(nu, "signal", "left")
     return d.select(
@@ -45,7 +43,7 @@ def robust_scale(stats: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ dynamics
-def dynamics(wide: DataFrame, signals: Sequence[str], chunk_rows: int = 100_000, exact: bool = True) -> DataFrame:
+def dynamics(wide: DataFrame, signals: Sequence[str], chunk_rows: int = 100_000) -> DataFrame:
     """Autocorrelation, noise, holds, jumps and trend of each signal: per stretch of a group, then the median.
 
     One shuffle of the wide rows; a stretch is a whole group, or a chunk of a long group."""
@@ -65,7 +63,7 @@ def dynamics(wide: DataFrame, signals: Sequence[str], chunk_rows: int = 100_000,
         F.count(dx).alias("n1"), F.sum(x * x1).alias("s11"), F.sum(F.when(x1.isNotNull(), x)).alias("sx1"), F.sum(x1).alias("sp1"),
         F.count(x5).alias("n5"), F.sum(x * x5).alias("s55"), F.sum(F.when(x5.isNotNull(), x)).alias("sx5"), F.sum(x5).alias("sp5"),
         F.stddev_pop(dx).alias("sdd"), F.avg((dx == 0).cast("double")).alias("stuck_fraction"), F.abs(F.corr("x", F.col("pos").cast("double"))).alias("trend_strength"),
-        S.quantile(F.when(dx != 0, F.abs(dx)), 0.01, exact).alias("quantization_step"), S.quantile(F.when(dx != 0, F.abs(dx)), 0.5, exact).alias("med_move"),
+        S.quantile(F.when(dx != 0, F.abs(dx)), 0.01).alias("quantization_step"), S.quantile(F.when(dx != 0, F.abs(dx)), 0.5).alias("med_move"),
         F.avg(lev).alias("lmu"), F.stddev_pop(lev).alias("lsd"), F.count(F.when(moved, 1)).alias("ln"), F.sum(F.when(moved, x * x1)).alias("l11"), F.sum(F.when(moved, x)).alias("lx"), F.sum(F.when(moved, x1)).alias("lp"))
     auto = lambda n, s, sx, sp: F.when((F.col("sd") > 0) & (F.col(n) > 5), (F.col(s) - F.col("mu") * (F.col(sx) + F.col(sp)) + F.col(n) * F.col("mu") * F.col("mu")) / F.col(n) / (F.col("sd") * F.col("sd")))
     a = a.filter("n >= 10").withColumns({
@@ -77,12 +75,14 @@ def dynamics(wide: DataFrame, signals: Sequence[str], chunk_rows: int = 100_000,
     starts = d.filter(level).withColumn("_next", F.lead("pos").over(w)).join(a.select(*unit, (F.col("n")).alias("_n")), unit)
     first = F.min("pos").over(Window.partitionBy(*unit))
     runs = starts.withColumn("len", F.coalesce("_next", first + F.col("_n")) - F.col("pos"))
-    med = runs.groupBy(*unit).agg(S.quantile("len", 0.5, exact).alias("hold_period"))
-    reg = runs.join(med, unit).groupBy(*unit, "hold_period").agg(S.quantile(F.abs(F.col("len") - F.col("hold_period")), 0.5, exact).alias("_mad"))
+    med = runs.groupBy(*unit).agg(S.quantile("len", 0.5).alias("hold_period"))
+    reg = runs.join(med, unit).groupBy(*unit, "hold_period").agg(S.quantile(F.abs(F.col("len") - F.col("hold_period")), 0.5).alias("_mad"))
     reg = reg.withColumn("hold_regularity", F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), 1.4826 * F.col("_mad") / F.col("hold_period")))).drop("_mad")
     u = a.join(big, unit, "left").join(reg, unit, "left")
     cols = ["autocorr_lag1", "autocorr_lag5", "noise_level", "stuck_fraction", "hold_period", "hold_regularity", "level_autocorr", "quantization_step", "jump_ratio", "large_jump_share", "trend_strength"]
-    return u.groupBy("signal").agg(F.count(F.lit(1)).alias("n_units"), *[S.quantile(c_, 0.5, exact).alias(c_) for c_ in cols])
+    u = once(u.select("signal", *cols))
+    mid = S.group_quantiles(u.unpivot(["signal"], cols, "measure", "x"), ["signal", "measure"], "x", [0.5]).groupBy("signal").agg(*[F.max(F.when(F.col("measure") == c_, F.get("q", F.lit(0)))).alias(c_) for c_ in cols])
+    return u.groupBy("signal").agg(F.count(F.lit(1)).alias("n_units")).join(mid, "signal", "left")
 
 
 def dominant_period(wide: DataFrame, signals: Sequence[str], chunk_rows: int = 16_384, prominence: float = 8.0) -> DataFrame:
@@ -127,10 +127,10 @@ def boundedness(fp: DataFrame) -> DataFrame:
     return fp.withColumn("boundedness", F.when(mn.isNull() | mx.isNull(), "unknown").when(pct, "0-100").when((mn >= 0) & (mx <= 1.0000001) & (mx - mn > 0.2), "0-1").when(mn >= 0, "nonnegative").otherwise("unbounded"))
 
 
-def fingerprints(wide: DataFrame, signals: Sequence[str], exact: bool = True) -> DataFrame:
+def fingerprints(wide: DataFrame, signals: Sequence[str]) -> DataFrame:
     long = wide.select(*signals).unpivot([], list(signals), "signal", "value")
-    st = global_stats(long, exact)
-    d = st.join(share_at_limits(long, st), "signal", "left").join(dynamics(wide, signals, exact=exact), "signal", "left")
+    st = global_stats(long)
+    d = st.join(share_at_limits(long, st), "signal", "left").join(dynamics(wide, signals), "signal", "left")
     return boundedness(shape(d))
 
 

@@ -55,7 +55,6 @@ class Context:
     holds: dict[str, int] = field(default_factory=dict)
     ranges: DataFrame | None = None
     group_rows: str | None = "group_rows"
-    exact: bool = True
     windows: DataFrame | None = None
 
     def role(self, s: str) -> str:
@@ -69,24 +68,22 @@ class Context:
 
 
 def build_context(wide: DataFrame, signals: Sequence[str], time: str | None = None, limits: Limits | None = None,
-                  roles: dict[str, str] | None = None, holds: dict[str, int] | None = None, exact: bool | None = None,
+                  roles: dict[str, str] | None = None, holds: dict[str, int] | None = None,
                   rule_limits: DataFrame | None = None, stats: DataFrame | None = None) -> Context:
     """``stats``: written statistics of the table; computed and checkpointed here when missing."""
     lim = limits or Limits()
-    ex = S.use_exact(wide, exact, len(signals))
-    st = stats if stats is not None else once(table_stats(wide, signals, ex))
+    st = stats if stats is not None else table_stats(wide, signals)
     sizes = wide.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
     period = None
     if time:
         d = time_steps(wide, time).filter(F.col("step") > 0)
-        period = d.agg(S.quantile("step", 0.5, ex).alias("period"))
+        period = S.wide_quantiles(d, {"step": F.col("step")}, [0.5]).select(F.get("q", F.lit(0)).alias("period"))
     ranges = plausible_ranges(st, roles or {}, rule_limits)
-    return Context(wide, list(signals), st, sizes, time, period, lim, roles or {}, holds or {}, ranges, exact=ex)
+    return Context(wide, list(signals), st, sizes, time, period, lim, roles or {}, holds or {}, ranges)
 
 
-def table_stats(wide: DataFrame, signals: Sequence[str], exact: bool) -> DataFrame:
-    long = wide.select(*signals).unpivot([], list(signals), "signal", "value")
-    return S.signal_stats(long.withColumn("value", S.finite(F.col("value"))), exact=exact)
+def table_stats(wide: DataFrame, signals: Sequence[str]) -> DataFrame:
+    return S.wide_stats(wide, {s: S.finite(F.col(s)) for s in signals})
 
 
 def once(df: DataFrame) -> DataFrame:

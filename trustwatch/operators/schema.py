@@ -73,10 +73,10 @@ def epoch_unit(df: DataFrame, value: Column, keys: Sequence[str] = ("grp",), pos
     return r.crossJoin(F.broadcast(up)).select(F.when((F.col("nu") > 10) & (F.col("up") >= 0.9), unit).alias("unit"), F.col("up").alias("non_decreasing"))
 
 
-def time_stats(df: DataFrame, ts: str, keys: Sequence[str] = ("grp",), exact: bool = True) -> DataFrame:
+def time_stats(df: DataFrame, ts: str, keys: Sequence[str] = ("grp",)) -> DataFrame:
     """Share of non-decreasing steps, period (median positive step), irregular, zero and negative shares."""
     d = steps(df, F.unix_micros(F.col(ts)) / F.lit(1e6), keys)
-    per = d.filter("step > 0").agg(S.quantile("step", 0.5, exact).alias("period"))
+    per = S.wide_quantiles(d.filter("step > 0"), {"step": F.col("step")}, [0.5]).select(F.get("q", F.lit(0)).alias("period"))
     st = F.col("step")
     share = lambda c: F.avg(c.cast("double"))
     return d.crossJoin(F.broadcast(per)).agg(
@@ -93,17 +93,21 @@ def counter_stats(df: DataFrame, col: str, keys: Sequence[str] = (), pos: str =
         F.sum((F.col("step") < 0).cast("long")).alias("resets")).withColumn("is_counter", F.col("step_share") >= 0.9)
 
 
-def score_group_keys(df: DataFrame, candidates: Sequence[Sequence[str]], exact: bool = True) -> DataFrame:
+def middle(d: DataFrame, col: str) -> DataFrame:
+    """One row: median_len of ``col`` and _mad around it, exact at any number of rows."""
+    med = S.wide_quantiles(d, {col: F.col(col)}, [0.5]).first().q[0]
+    mad = S.wide_quantiles(d, {col: F.abs(F.col(col) - F.lit(med))}, [0.5]).first().q[0]
+    return d.sparkSession.createDataFrame([(med, mad)], "median_len double, _mad double")
+
+
+def score_group_keys(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
     """Contiguity, regularity and plausibility of key columns as group keys (rows in ``row`` order)."""
     out = None
     total = df.agg(F.count(F.lit(1)).alias("n_rows"))
     for cols in candidates:
         key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
         g = df.groupBy(key.alias("key")).agg(F.min("row").alias("s"), F.max("row").alias("e"), F.count(F.lit(1)).alias("n"))
-        med = g.agg(S.quantile("n", 0.5, exact).alias("med"))
-        a = g.crossJoin(F.broadcast(med)).agg(
-            F.count(F.lit(1)).alias("n_groups"), F.sum(F.when(F.col("n") == F.col("e") - F.col("s") + 1, F.col("n")).otherwise(0)).alias("_in"),
-            F.max("med").alias("median_len"), S.quantile(F.abs(F.col("n") - F.col("med")), 0.5, exact).alias("_mad"))
+        a = g.agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.when(F.col("n") == F.col("e") - F.col("s") + 1, F.col("n")).otherwise(0)).alias("_in")).crossJoin(F.broadcast(middle(g, "n")))
         a = a.crossJoin(F.broadcast(total))
         cont = F.col("_in") / F.col("n_rows")
         reg = F.when(F.col("n_groups") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), 1.4826 * F.col("_mad") / F.col("median_len"))))
@@ -133,9 +137,8 @@ def key_blocks(df: DataFrame, key: Column, keys: Sequence[str] = (), pos: str =
     return ordered.segments(d, list(keys), lambda w: F.lag("key").over(w).isNotNull() & (F.lag("key").over(w) != F.col("key")), pos=pos, aggs={"key": ("min", F.col("key"))})
 
 
-def segmentation_candidate(segs: DataFrame, method: str, n_rows: int, exact: bool = True) -> DataFrame:
-    med = segs.agg(S.quantile("n", 0.5, exact).alias("med"))
-    a = segs.crossJoin(F.broadcast(med)).agg(F.count(F.lit(1)).alias("n_groups"), F.max("med").alias("median_len"), S.quantile(F.abs(F.col("n") - F.col("med")), 0.5, exact).alias("_mad"))
+def segmentation_candidate(segs: DataFrame, method: str, n_rows: int) -> DataFrame:
+    a = segs.agg(F.count(F.lit(1)).alias("n_groups")).crossJoin(F.broadcast(middle(segs, "n")))
     reg = F.when(F.col("n_groups") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), 1.4826 * F.col("_mad") / F.col("median_len"))))
     pl = F.when((F.col("n_groups") < 2) | (F.col("median_len") < 3), 0.0).otherwise(F.when(F.col("median_len") < 20, F.col("median_len") / 20.0).otherwise(1.0) * F.when(F.col("n_groups") > n_rows / 10, 0.3).otherwise(1.0))
     return a.select(F.lit(method).alias("method"), F.lit("").alias("columns"), "n_groups", "median_len", F.lit(1.0).alias("contiguity"), reg.alias("regularity"), ((0.5 + 0.35 * reg) * pl).alias("score"))

@@ -119,11 +119,12 @@ def query(spark, sql: str, views: Mapping[str, DataFrame], limit: int | None = N
     return out.limit(limit) if limit else out
 
 
-def signal_summary(df: DataFrame, signal: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+def signal_summary(df: DataFrame, signal: str, by: Sequence[str] = ()) -> DataFrame:
     c = F.col(signal)
-    return df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-                               S.quantile(c, 0.05, exact).alias("q05"), S.quantile(c, 0.5, exact).alias("median"), S.quantile(c, 0.95, exact).alias("q95"),
-                               F.max(c).alias("max"), F.sum(c.isNull().cast("long")).alias("n_null"))
+    a = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c.isNull().cast("long")).alias("n_null"))
+    q = S.group_quantiles(df, by, c, (0.05, 0.5, 0.95)).drop("n")
+    d = a.join(q, list(by), "left") if by else a.join(F.broadcast(q), how="left")
+    return d.select(*by, "n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(("q05", "median", "q95"))], "max", "n_null")
 
 
 def bucket_of(lo: int, hi: int, max_points: int) -> tuple[int, Column]:

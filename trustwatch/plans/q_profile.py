@@ -29,7 +29,7 @@ round(quantile_cont(value, 0.95), 4) AS q95, round(quantile_cont(value, 0.99), 4
 bool_and(value = floor(value)) AS integer_valued FROM dirty_long GROUP BY signal""")
 def e1(spark, sf):
     long = dirty_long(spark, sf)
-    d = P.global_stats(long, S.use_exact(V.dirty_wide(spark, sf), None, len(V.SIGNALS)))
+    d = P.global_stats(long)
     return d.select("signal", "count", F.round("missing_rate", 6).alias("missing_rate"), F.round("mean", 4).alias("mean"), "min", "max", *[F.round(c, 4).alias(c) for c in ("q01", "q05", "q25", "q50", "q75", "q95", "q99")],
                     F.round("skew", 3).alias("skew"), F.round("kurtosis", 3).alias("kurtosis"), "n_unique", "integer_valued")
 
@@ -70,7 +70,7 @@ def e5(spark, sf):
 
 
 def fingerprints(spark, sf):
-    return V.staged(spark, sf, "fingerprints", lambda s, d: P.fingerprints(V.sensor_wide(s, d), V.SIGNALS, S.use_exact(V.sensor_wide(s, d), None, len(V.SIGNALS))), ["signal"])
+    return V.staged(spark, sf, "fingerprints", lambda s, d: P.fingerprints(V.sensor_wide(s, d), V.SIGNALS), ["signal"])
 
 
 @query("e6_shape", WL + """, a AS (SELECT signal, count(value)::DOUBLE AS n, count(DISTINCT value) AS nu, skewness(value) AS sk, kurtosis(value) AS ku FROM wl GROUP BY 1), b AS (SELECT *, (sk * sk + 1) / (ku + 3 * (n - 1) * (n - 1) / greatest(1, (n - 2) * (n - 3))) AS bc FROM a)

@@ -227,7 +227,7 @@ def check_sql(name: str, **kw) -> str:
 # ------------------------------------------------------------------ queries
 def dirty_stats(spark, sf):
     """Statistics of the table: a written artifact, as every check needs them."""
-    return V.staged(spark, sf, "dirty_stats", lambda sp, d: Q.table_stats(V.dirty_wide(sp, d), V.SIGNALS, S.use_exact(V.dirty_wide(sp, d), None, len(V.SIGNALS))), ["signal"])
+    return V.staged(spark, sf, "dirty_stats", lambda sp, d: Q.table_stats(V.dirty_wide(sp, d), V.SIGNALS), ["signal"])
 
 
 def context(spark, sf, time="ts_reg", **kw) -> Q.Context:
