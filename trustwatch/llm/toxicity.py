@@ -47,8 +47,8 @@ def fit_sample(rows: DataFrame, most: int, bits: int, factors: int, shapes: bool
     return m
 
 
-def score_texts(docs: DataFrame, m: Machine | None, bits: int, shapes: bool) -> DataFrame:
-    """doc_id and score of each row (0.5 where there is no model)."""
+def score_texts(docs: DataFrame, m: Machine | None, bits: int, shapes: bool, *more: str) -> DataFrame:
+    """doc_id, the columns named and score of each row (0.5 where there is no model)."""
     model = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
@@ -57,9 +57,10 @@ def score_texts(docs: DataFrame, m: Machine | None, bits: int, shapes: bool) ->
                 s = np.full(b.num_rows, 0.5)
             else:
                 s = model.value.score(*hashed_terms(b.column("text"), bits, shapes)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in more], pa.array(s)], ["doc_id", *more, "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double")
+    rows = id_text(docs, *more)
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "text") + ", score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST, bits: int = BITS, factors: int = FACTORS, folds: int = 5) -> DataFrame:

@@ -30,8 +30,9 @@ BITS, MOST = 16, 12_000
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """doc_id and a pattern of votes: +, - or 0 for each labeller."""
-    return measure(docs).select("doc_id", F.concat(*[F.expr(f"CASE WHEN {bad} THEN '-' WHEN {good} THEN '+' ELSE '0' END") for _, bad, good in LABELLERS]).alias("pattern"))
+    """doc_id, content (a hash of the text) and a pattern of votes: +, - or 0 for each labeller."""
+    rows = id_text(docs).select("doc_id", "text", F.xxhash64("text").cast("string").alias("source"))
+    return measure(rows).select("doc_id", F.col("source").alias("content"), F.concat(*[F.expr(f"CASE WHEN {bad} THEN '-' WHEN {good} THEN '+' ELSE '0' END") for _, bad, good in LABELLERS]).alias("pattern"))
 
 
 def posteriors(patterns: list[str], counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -55,7 +56,8 @@ def posteriors(patterns: list[str], counts: np.ndarray, rounds: int = 100) -> tu
 def weak_quality(docs: DataFrame, most: int = MOST, bits: int = BITS) -> DataFrame:
     """doc_id, pattern, posterior (of good, from the votes), score (of the linear scorer) and kept (score >= 0.5), one row per row.
 
-    Null and empty texts are voted on as texts without words. An empty table gives no rows; extra columns are ignored.
+    Null and empty texts are voted on as texts without words. Rows that share a doc_id are judged each by its own text; rows without a doc_id
+    are left out. An empty table gives no rows; extra columns are ignored.
     """
     v = written(votes(docs), "votes")
     seen = sorted(v.groupBy("pattern").agg(F.count("*").alias("n")).collect())
@@ -67,5 +69,6 @@ def weak_quality(docs: DataFrame, most: int = MOST, bits: int = BITS) -> DataFra
     few = lambda c: judged.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
     ids = written(few("posterior >= 0.5").unionByName(few("posterior < 0.5")).select("doc_id", F.col("posterior").alias("target")).distinct(), "sample-ids")
     m = fit_sample(id_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "target"), most, bits, 0, True)
-    scores = score_texts(docs, m, bits, True).groupBy("doc_id").agg(F.max("score").alias("score"))
-    return judged.join(scores, "doc_id").select("doc_id", "pattern", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+    # rows equal in doc_id and text have one score
+    scores = score_texts(id_text(docs).withColumn("content", F.xxhash64("text").cast("string")), m, bits, True, "content").groupBy("doc_id", "content").agg(F.max("score").alias("score"))
+    return judged.join(scores, ["doc_id", "content"]).select("doc_id", "pattern", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))

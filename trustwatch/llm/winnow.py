@@ -109,7 +109,7 @@ def _extended(k: int, span: int):
 
 
 def shared_spans(docs: DataFrame, items: DataFrame, k: int = K, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(scanned, spans): doc and n_words of each row, numbered so that repeated doc_ids stay apart; doc, first, last, item_id of shared spans."""
+    """(scanned, spans): doc (a number of the row, so that repeated doc_ids stay apart), doc_id and n_words of each row; doc, first, last, item_id of shared spans."""
     span = k + window - 1
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lengths = sorted(r.n for r in _item_lengths(items, span - 1).collect())
@@ -122,8 +122,8 @@ def shared_spans(docs: DataFrame, items: DataFrame, k: int = K, window: int = WI
     few = contexts.select("hash").distinct().limit(MOST_KEYS + 1).count() <= MOST_KEYS
     wanted = items.sparkSession.sparkContext.broadcast(np.sort(contexts.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64))) if few else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scanned = written(_scan(rows, "doc_id", k, window, lengths, wanted), "fingerprints")
-    hits = scanned.select(F.col("doc_id").alias("doc"), F.explode("prints").alias("p")).select("doc", "p.*")
+    scanned = written(_scan(rows, "doc_id", k, window, lengths, wanted).withColumn("doc", F.monotonically_increasing_id()), "fingerprints")
+    hits = scanned.select("doc", F.explode("prints").alias("p")).select("doc", "p.*")
     pairs = hits.join(contexts, ["hash", "kind"]).select("doc", "at", "kind", "before", "around", "item_before", "item_around", "content")
     met = pairs.mapInArrow(_extended(k, span), "doc long, first long, last long, content long").filter("first IS NOT NULL").distinct()
     return scanned, written(met.join(holders, "content").select("doc", "first", "last", "item_id").distinct(), "spans")
@@ -133,7 +133,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, window: int = WI
     """doc_id, n_words, n_hit (words inside shared spans), spans (merged), items (ids, sorted as strings) of each row of ``docs``.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty texts have no words and hit
-    nothing; an empty item never occurs; with no items nothing is hit. Rows that share a doc_id share texts' findings. Extra columns are ignored.
+    nothing; an empty item never occurs; with no items nothing is hit. Rows that share a doc_id are judged each, rows without a doc_id too. Extra columns are ignored.
     """
     scanned, spans = shared_spans(docs, items, k, window)
     order = spans.select("doc", "first", "last").distinct()
@@ -141,6 +141,6 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, window: int = WI
         "aggregate(s, CAST(array() AS array<struct<first:bigint,last:bigint>>), (a, x) -> IF(size(a) > 0 AND x.first <= element_at(a, -1).last, "
         "concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))), concat(a, array(x))))").alias("spans"))
     held = spans.select("doc", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = merged.join(held, "doc").withColumnRenamed("doc", "doc_id")
-    return scanned.select("doc_id", "n_words").join(found, "doc_id", "left").select(
+    found = merged.join(held, "doc")
+    return scanned.select("doc", "doc_id", "n_words").join(found, "doc", "left").select(
         "doc_id", "n_words", F.expr("aggregate(coalesce(spans, array()), 0L, (a, x) -> a + x.last - x.first)").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
