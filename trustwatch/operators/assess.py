@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
 from trustwatch.operators import detect, quality, trust
+from trustwatch.operators.quality import once
 
 WEIGHT = {"fail": 1.0, "warn": 0.4}
 
@@ -53,31 +54,49 @@ def calibration(df: DataFrame, conf: str, correct: Column) -> DataFrame:
     return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean_confidence"), F.avg(correct.cast("double")).alias("share_correct"))
 
 
-def pattern_agreement(df: DataFrame, pattern: str, label: str) -> DataFrame:
-    """Purity and adjusted mutual information of two labelings (everything after the contingency table is small)."""
-    t = df.groupBy(F.col(pattern).cast("string").alias("a"), F.col(label).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+EMI_CHUNK = 1 << 20
+"""Terms of the expected information that one row of work sums."""
+
+
+def expected_information(rows: DataFrame, cols: DataFrame, n: int) -> DataFrame:
+    """One row, emi: expected mutual information of two labelings with these totals (rows: x, mult; cols: y, mult; distinct totals and how often each occurs).
+
+    Every pair of distinct totals sums k / n ln(n k / (x y)) over the hypergeometric chances of all k, in stretches of EMI_CHUNK terms that Spark deals out.
+    """
+    work = rows.select("x", F.col("mult").alias("mx")).join(cols.select("y", F.col("mult").alias("my")))
+    lo, hi = F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - n), F.least("x", "y")
+    work = work.withColumn("lo", lo).withColumn("hi", hi).filter("lo <= hi").withColumn("at", F.explode(F.sequence("lo", "hi", F.lit(EMI_CHUNK).cast("long")))).repartition("x", "y", "at")
 
-    def ami(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from math import lgamma
 
-        m = pdf.pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy(dtype=float)
-        n, ra, cb = m.sum(), m.sum(1), m.sum(0)
-        lg = np.vectorize(lgamma)
-        nz = m > 0
-        mi = float((m[nz] / n * np.log(m[nz] * n / np.outer(ra, cb)[nz])).sum())
-        h = lambda p: float(-(p / n * np.log(p / n)).sum())
-        emi = 0.0
-        for x in ra:
-            for y in cb:
-                mean, sd = x * y / n, np.sqrt(max(x * y * (n - x) * (n - y) / (n * n * max(n - 1, 1)), 1.0))
-                k = np.arange(max(1, x + y - n, np.floor(mean - 12 * sd)), min(x, y, np.ceil(mean + 12 * sd)) + 1)
-                if len(k):
-                    lp = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
-                    emi += float((k / n * np.log(n * k / (x * y)) * np.exp(lp)).sum())
-        avg = (h(ra) + h(cb)) / 2
-        return pd.DataFrame({"purity": [float(m.max(1).sum() / n)], "ami": [(mi - emi) / max(avg - emi, 1e-12)], "n": [int(n)]})
-
-    return t.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(ami, "purity double, ami double, n long")
+        for pdf in batches:
+            total = 0.0
+            for r in pdf.itertuples():
+                x, y, k0 = int(r.x), int(r.y), int(r.at)
+                first = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k0 + 1) - lgamma(x - k0 + 1) - lgamma(y - k0 + 1) - lgamma(n - x - y + k0 + 1)
+                k = np.arange(k0, min(int(r.hi), k0 + EMI_CHUNK - 1) + 1, dtype=float)
+                step = np.log(x - k[:-1]) + np.log(y - k[:-1]) - np.log(k[1:]) - np.log(n - x - y + k[1:])  # from one k to the next
+                p = np.exp(first + np.r_[0.0, np.cumsum(step)])
+                total += float(r.mx) * float(r.my) * float((k / n * np.log(n * k / (float(x) * y)) * p).sum())
+            yield pd.DataFrame({"emi": [total]})
+
+    return work.mapInPandas(run, "emi double").agg(F.coalesce(F.sum("emi"), F.lit(0.0)).alias("emi"))
+
+
+def pattern_agreement(df: DataFrame, pattern: str, label: str) -> DataFrame:
+    """Purity and adjusted mutual information of two labelings (null is a label of its own), as aggregates over the contingency table: no task holds it."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    t = once(df.groupBy(name(pattern).alias("a"), name(label).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    n = t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not n:
+        return df.sparkSession.createDataFrame([], "purity double, ami double, n long")
+    ra, cb = t.groupBy("a").agg(F.sum("n").alias("x"), F.max("n").alias("most")), t.groupBy("b").agg(F.sum("n").alias("y"))
+    entropy = lambda c: -F.sum(F.col(c) / n * F.log(F.col(c) / n))
+    mi = t.join(ra, "a").join(cb, "b").agg(F.sum(F.col("n") / n * F.log(F.col("n") * float(n) / (F.col("x").cast("double") * F.col("y")))).alias("mi"))
+    emi = expected_information(ra.groupBy("x").agg(F.count(F.lit(1)).alias("mult")), cb.groupBy("y").agg(F.count(F.lit(1)).alias("mult")), int(n))
+    one = mi.crossJoin(emi).crossJoin(ra.agg(entropy("x").alias("hx"), (F.sum("most") / n).alias("purity"))).crossJoin(cb.agg(entropy("y").alias("hy")))  # four tables of one row
+    return one.select("purity", ((F.col("mi") - F.col("emi")) / F.greatest((F.col("hx") + F.col("hy")) / 2 - F.col("emi"), F.lit(1e-12))).alias("ami"), F.lit(n).cast("long").alias("n"))
 
 
 def purity(df: DataFrame, pattern: str, label: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
 from trustwatch.operators import ordered
+from trustwatch.operators.changes import change_points
 from trustwatch.operators.quality import once
 
 BINS = 200
@@ -85,47 +86,44 @@ def best_split(d: DataFrame, value: str, min_size: int, keys: Sequence[str] = ("
     return best.select(*keys, (F.col("b.row") + 1).alias("row"), (F.col("b.pos") + 1).alias("pos"), F.col("b.gain").alias("gain"), F.col("b.shift").alias("shift"), e.alias("effect"))
 
 
-def first_change(d: DataFrame, value: str, min_size: int, effect: float = 2.0, shift: float = 1.5, depth: int = 2) -> DataFrame:
-    """First significant change of each series: the best split, then splits of what lies before it."""
-    found = None
-    cur = d
-    for _ in range(depth):
-        s = best_split(cur, value, min_size).filter((F.col("effect") >= effect) & (F.abs("shift") >= shift))
-        found = s if found is None else found.unionByName(s)
-        cut = s.select("grp", F.col("pos").alias("_cut"))
-        cur = cur.join(cut, "grp").filter(F.col("pos") < F.col("_cut")).drop("_cut")
-    return ordered.first_k(found, ["grp"], ["pos"], 1)
-
-
-def segment_by_change(d: DataFrame, value: str, window: int, depth: int = 2) -> DataFrame:
-    """Change-point segments of window means: recursive best splits instead of an optimal partition."""
-    means = d.groupBy("grp", F.floor(F.col("pos") / window).cast("long").alias("pos")).agg(F.avg(value).alias("v"), F.min("row").alias("row"))
-    cuts = None
-    parts = means.withColumn("grp", F.concat_ws("/", "grp", F.lit("0")))
-    for _ in range(depth):
-        renum = parts.withColumn("_p", F.col("pos"))
-        s = best_split(renum, "v", 3).filter("effect >= 2")
-        cuts = s.select(F.element_at(F.split("grp", "/"), 1).alias("grp"), "pos") if cuts is None else cuts.unionByName(s.select(F.element_at(F.split("grp", "/"), 1).alias("grp"), "pos"))
-        cut = s.select("grp", F.col("pos").alias("_cut"))
-        parts = parts.join(cut, "grp").withColumn("grp", F.concat("grp", F.when(F.col("pos") < F.col("_cut"), "a").otherwise("b"))).drop("_cut")
-    return cuts.select("grp", (F.col("pos") * window).alias("pos"))
-
-
-def baseline_prechange(z: DataFrame, col: str, window: int, margin: int = 0) -> DataFrame:
-    """Rows before the first significant change of their group's window means."""
-    m = z.groupBy("grp", F.floor(F.col("pos") / window).cast("long").alias("pos")).agg(F.avg(col).alias("v"), F.min("row").alias("row"))
-    c = first_change(m, "v", 3).select("grp", (F.col("pos") * window - margin).alias("_cut"))
+def window_means(d: DataFrame, values: Sequence[str], window: int) -> DataFrame:
+    """Means of runs of ``window`` rows of each group; pos counts the runs."""
+    return d.groupBy("grp", F.floor(F.col("pos") / window).cast("long").alias("pos")).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def segment_by_change(d: DataFrame, values: Sequence[str] | str, window: int, effect: float = 2.0) -> DataFrame:
+    """Change-point segments of window means over all ``values``, cut to the end."""
+    values = [values] if isinstance(values, str) else list(values)
+    return change_points(window_means(d, values, window), values, 3, effect).select("grp", (F.col("pos") * window).alias("pos"))
+
+
+def pca_residual(z: DataFrame, cols: Sequence[str], explained: float = 0.9, out: str = "residual") -> DataFrame:
+    """``z`` with log(1 + squared distance from the leading principal components), an expression over the columns."""
+    from trustwatch.operators.detect import _gram
+
+    _, mu, cov = _gram(z, cols)
+    w, v = np.linalg.eigh(cov + 1e-6 * np.eye(len(cols)))
+    w, v = w[::-1], v[:, ::-1]
+    k = min(int(np.searchsorted(np.cumsum(w) / w.sum(), explained) + 1), len(cols) - 1) if len(cols) > 1 else 0
+    rest = v[:, k:]
+    x = [F.coalesce(F.col(c), F.lit(float(m))) - F.lit(float(m)) for c, m in zip(cols, mu)]
+    off = [sum((F.lit(float(rest[i, j])) * x[i] for i in range(len(cols))), F.lit(0.0)) for j in range(rest.shape[1])]
+    return z.withColumn(out, F.log1p(sum((o * o for o in off), F.lit(0.0))))
+
+
+def baseline_prechange(z: DataFrame, cols: Sequence[str] | str, window: int, margin: int = 0, residual: bool = True) -> DataFrame:
+    """Rows before the first significant change of their group's window means, in any column or in the residual of their common movement."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    d, values = (pca_residual(z, cols), [*cols, "residual"]) if residual and len(cols) > 1 else (z, cols)
+    c = change_points(window_means(d, values, window), values, 3, 2.0, 1.5).groupBy("grp").agg((F.min("pos") * window - margin).alias("_cut"))
     return z.join(c, "grp", "left").select("row", "grp", "pos", (F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))).alias("in_baseline"))
 
 
 def baseline_early(z: DataFrame, cols: Sequence[str], window: int, share: float = 0.4) -> DataFrame:
-    """The first 40 % of each group, cut at the first change in any signal."""
+    """The first 40 % of each group, cut at its first change in any column or in the residual."""
     n = z.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    out = z.join(n, "grp").withColumn("in_baseline", F.col("pos") < share * F.col("_n")).drop("_n")
-    for c in cols:
-        pre = baseline_prechange(z, c, window).select("grp", "row", F.col("in_baseline").alias("_b"))
-        out = out.join(pre, ["grp", "row"]).withColumn("in_baseline", F.col("in_baseline") & F.col("_b")).drop("_b")
-    return out.select("row", "grp", "pos", "in_baseline")
+    pre = baseline_prechange(z, cols, window).select("grp", "row", F.col("in_baseline").alias("_b"))
+    return z.join(n, "grp").join(pre, ["grp", "row"]).select("row", "grp", "pos", (F.col("_b") & (F.col("pos") < share * F.col("_n"))).alias("in_baseline"))
 
 
 def baseline_dense(z: DataFrame, cols: Sequence[str], window: int, k: int = 4, min_share: float = 0.12, seed: int = 1) -> DataFrame:
@@ -208,7 +206,7 @@ def estimate_baseline(wide: DataFrame, signals: Sequence[str], window: int = 20)
     """(smoothed rows of the best candidate, candidate scores)."""
     z = once(zscores(wide, signals))
     cols = [f"z_{s}" for s in signals]
-    cands = {"modes": baseline_modes(z, cols), "prechange": baseline_prechange(z, cols[0], window), "ellipsoid": baseline_ellipsoid(z, cols)}
+    cands = {"modes": baseline_modes(z, cols), "prechange": baseline_prechange(z, cols, window), "ellipsoid": baseline_ellipsoid(z, cols)}
     scores = score_baselines(cands, z, cols)
     best = scores.orderBy(F.desc("score"), "candidate").first()["candidate"]
     return smooth_mask(cands[best], window, window // 2), scores

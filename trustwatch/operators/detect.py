@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
 from trustwatch.operators import ordered
-from trustwatch.operators.graph import connected_components
 from trustwatch.operators.quality import once
+from trustwatch.operators.trajectories import families
 
 BLOCKS = ("value", "rmean", "rstd", "d1", "d2")
 CLIP = 10.0
@@ -382,29 +382,15 @@ def score_iforest(feats: DataFrame, forest: DataFrame, spec: Spec) -> DataFrame:
 
 
 # ------------------------------------------------------------------ folds
-def near_duplicate_groups(wide: DataFrame, signals: Sequence[str], head: int = 25) -> DataFrame:
-    """Pairs of groups whose first rows are equal (digest of the rounded head)."""
-    h = wide.filter(F.col("pos") < head)
-    row = F.concat_ws(",", *[F.coalesce(F.round(s, 6).cast("string"), F.lit("null")) for s in signals])
-    d = h.groupBy("grp").agg(F.sha2(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("pos", row.alias("r")))), lambda x: x["r"])), 256).alias("digest"))
-    first = d.groupBy("digest").agg(F.min("grp").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return d.join(first, "digest").filter("grp <> a").select("a", F.col("grp").alias("b"))
-
-
 def group_folds(groups: DataFrame, duplicates: DataFrame, k: int) -> DataFrame:
     """Fold of each group: near-duplicates stay together, families are dealt in order of size (largest first)."""
-    fam = connected_components(groups.select(F.col("grp").alias("id")), duplicates)
-    d = groups.join(fam.withColumnRenamed("id", "grp"), "grp")
+    d = families(groups, duplicates)
     sizes = d.groupBy("component").agg(F.sum("n_rows").alias("n"))
     r = F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1
     snake = F.when(F.pmod(F.floor(r / k), F.lit(2)) == 0, F.pmod(r, F.lit(k))).otherwise(k - 1 - F.pmod(r, F.lit(k)))
     return d.join(sizes.select("component", snake.cast("int").alias("fold")), "component").select("grp", "fold", "n_rows")
 
 
-def train_val_split(groups: DataFrame, frac: float = 0.25, seed: int = 0) -> DataFrame:
-    return groups.withColumn("is_val", F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(10_000)) < int(frac * 10_000))
-
-
 # ------------------------------------------------------------------ ensemble
 def combine(norm: Sequence[Column], cap: float = 20.0) -> Column:
     """0.7 of the largest plus 0.3 of the mean of the three largest normalised scores."""

@@ -47,12 +47,12 @@ def i1(spark, sf):
 
 @query("i2_prechange_rows")
 def i2(spark, sf):
-    return B.baseline_prechange(z(spark, sf), "z_s02", 20)
+    return B.baseline_prechange(z(spark, sf), COLS, 20)
 
 
 @query("i3_early_segment")
 def i3(spark, sf):
-    return B.baseline_early(z(spark, sf), COLS[:2], 20)
+    return B.baseline_early(z(spark, sf), COLS, 20)
 
 
 @query("i4_dense_windows")
@@ -62,12 +62,12 @@ def i4(spark, sf):
 
 @query("i5_robust_ellipsoid")
 def i5(spark, sf):
-    return B.baseline_ellipsoid(z(spark, sf), COLS[:4])
+    return B.baseline_ellipsoid(z(spark, sf), COLS)
 
 
 @query("i6_candidate_scores")
 def i6(spark, sf):
-    _, scores = B.estimate_baseline(V.sensor_wide(spark, sf), V.SIGNALS[:4])
+    _, scores = B.estimate_baseline(V.sensor_wide(spark, sf), V.SIGNALS)
     return scores
 
 
@@ -93,4 +93,4 @@ def i9(spark, sf):
 
 @query("c10_segment_by_change")
 def c10(spark, sf):
-    return B.segment_by_change(V.sensor_wide(spark, sf), "s02", 20)
+    return B.segment_by_change(z(spark, sf), COLS, 20)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
 from trustwatch.operators import detect as J
+from trustwatch.operators import trajectories as T
 from trustwatch.plans import views as V
 from trustwatch.plans.q_profile import WL
 from trustwatch.plans.q_select import groups
@@ -128,12 +129,15 @@ def twin_groups(spark, sf):
 
 @query("j10_near_duplicate_groups", "WITH " + V.SENSOR_WIDE + " SELECT DISTINCT 'copy' || grp AS a, grp AS b FROM sensor_wide WHERE CAST(grp AS INT) % 3 = 0 AND 'copy' || grp < grp UNION ALL SELECT DISTINCT grp, 'copy' || grp FROM sensor_wide WHERE CAST(grp AS INT) % 3 = 0 AND NOT 'copy' || grp < grp")
 def j10(spark, sf):
-    return J.near_duplicate_groups(twin_groups(spark, sf), V.SIGNALS)
+    return T.near_duplicate_groups(twin_groups(spark, sf), V.SIGNALS).select("a", "b")
+
+
+def duplicates(spark, sf):
+    return V.staged(spark, sf, "duplicates", lambda s, d: T.near_duplicate_groups(V.sensor_wide(s, d), V.SIGNALS), ["a", "b"])
 
 
 def folds(spark, sf, k=3):
-    w = V.sensor_wide(spark, sf)
-    return J.group_folds(groups(spark, sf), J.near_duplicate_groups(w, V.SIGNALS), k)
+    return J.group_folds(groups(spark, sf), duplicates(spark, sf), k)
 
 
 @query("j10_group_folds")
@@ -143,7 +147,7 @@ def j10_folds(spark, sf):
 
 @query("j11_train_val_split")
 def j11(spark, sf):
-    return J.train_val_split(groups(spark, sf)).select("grp", "is_val")
+    return T.train_val_split(groups(spark, sf), duplicates(spark, sf)).select("grp", "is_val")
 
 
 THR = """greatest(least(quantile_cont(score, 0.995), greatest(quantile_cont(score, 0.75) + 3 * (quantile_cont(score, 0.75) - quantile_cont(score, 0.25)), quantile_cont(score, 0.9))) * 1.1, 1.5 * quantile_cont(score, 0.5), 1e-6)"""
