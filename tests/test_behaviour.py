@@ -35,7 +35,7 @@ def test_ensemble_flags_the_shift(plant):
     s = detect.score_rows(plant, m).toPandas()
     hot = s[(s.grp == "5") & (s.pos >= 210)].score.mean()
     assert hot > 1.0 and s[(s.grp != "5")].score.median() < 0.8
-    f = detect.fit_iforest(detect.features(plant, m.spec), m.spec, trees=20, sample=64)
+    f = detect.grown_forest(detect.features(plant, m.spec), m.spec)
     sc = detect.score_iforest(detect.features(plant, m.spec), f, m.spec).toPandas()
     assert sc[(sc.grp == "5") & (sc.pos >= 205)].score.mean() > sc[sc.grp != "5"].score.mean()
 

@@ -79,9 +79,8 @@ def _narrowed(counts: DataFrame, keys: Sequence[str], ps: Sequence[float], limit
         counts = _kept(counts)
 
 
-def _picked(counts: DataFrame, keys: Sequence[str], ps: Sequence[float], limit: int | None = None) -> DataFrame:
+def _picked(counts: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """keys, n and q (array) from the counts of values (keys, at, v, c); v is null where only a count was kept, and q too if a rank falls there."""
-    counts = _narrowed(counts, keys, ps, limit or SLICE)
     order = Window.partitionBy(*keys).orderBy("at", "v")
     d = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     aggs = []
@@ -125,7 +124,10 @@ def wide_quantiles(df: DataFrame, columns: dict[str, Column], ps: Sequence[float
             at = _place(v, [(F.lit(float(lo)), F.lit(float(hi))) for lo, hi in ends])
             cells.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), at.alias("at"), F.when(at % 2 == 1, v).alias("v"))))
         long = data.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
-        return _picked(long.groupBy("i", "at", "v").agg(F.count(F.lit(1)).alias("c")), ["i"], ps)
+        counts = long.groupBy("i", "at", "v").agg(F.count(F.lit(1)).alias("c"))
+        if max(found[f"_{i}"].n for i in which) > SLICE:  # fewer rows can't have more values
+            counts = _narrowed(_kept(counts), ["i"], ps, SLICE)
+        return _picked(counts, ["i"], ps)
 
     rows = {r.i: r for r in (counted(pairs).collect() if pairs else [])}  # a row per column
     missed = {i: [(found[f"_{i}"].lo, found[f"_{i}"].hi)] for i, r in rows.items() if None in r.q}
@@ -158,13 +160,14 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: Column | str, ps: S
     # overlapping brackets: what is inside any is kept by value, and a value's place must not fall with the value
     at = F.when(inside, F.lit(None)).otherwise(below)
     counts = d.select(*by, at.alias("gap"), F.when(inside, F.col("_v")).alias("v"), F.col("_v").alias("_w")).groupBy(*by, "gap", "v").agg(F.count(F.lit(1)).alias("c"), F.min("_w").alias("first"))
-    counts = counts.select(*by, F.col("first").alias("at"), "v", "c")
-    got = _kept(_picked(counts, list(by), ps))
+    counts = _kept(counts.select(*by, F.col("first").alias("at"), "v", "c"))
+    got = _picked(_narrowed(counts, list(by), ps, SLICE), list(by), ps)
     missed = got.filter(F.exists("q", lambda x: x.isNull())).select(*by)
     if missed.isEmpty():
         return got
     whole = data.join(missed, list(by), "left_semi").groupBy(*by, F.col("_v").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("at", F.col("v"))
-    return got.join(missed, list(by), "left_anti").unionByName(_picked(whole.select(*by, "at", "v", "c"), list(by), ps))
+    whole = _narrowed(_kept(whole.select(*by, "at", "v", "c")), list(by), ps, SLICE)
+    return got.join(missed, list(by), "left_anti").unionByName(_picked(whole, list(by), ps))
 
 
 def finite(c: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from trustwatch.functions import stats as S
 from trustwatch.operators import ordered
 from trustwatch.operators.quality import once
-from trustwatch.operators.trajectories import families
+from trustwatch.operators.trajectories import families, train_val_split
 
 BLOCKS = ("value", "rmean", "rstd", "d1", "d2")
 CLIP = 10.0
@@ -305,14 +305,34 @@ def score_corr_break(feats: DataFrame, m: Ridge, spec: Spec, lam: float = 0.08)
     return e.select(*ID, F.greatest(F.lit(0.0), *stat.values()).alias("score"), *contrib)
 
 
-def score_resid_spread(feats: DataFrame, m: Ridge, spec: Spec, window: int = 20) -> DataFrame:
-    """Log rolling standard deviation of the residuals, standardised per signal; the largest one is the score."""
-    t = list(m.coef)
-    d = ordered.with_windows(_residuals(feats, m), ["grp"], lambda w: {f"_s{i}": F.log(F.coalesce(F.stddev_pop(c).over(w.rowsBetween(-(window - 1), 0)), F.lit(0.0)) + RSTD_EPS) for i, c in enumerate(t)}, before=window - 1)
-    d = d.filter(F.col("pos") >= 0)
-    st = _rows(scale_table(d, [f"_s{i}" for i in range(len(t))]))
-    stat = [F.abs((F.col(f"_s{i}") - F.lit(st[f"_s{i}"]["med"])) / F.lit(max(st[f"_s{i}"]["scale"], 0.25))) for i in range(len(t))]
-    return d.select(*ID, F.greatest(F.lit(0.0), *stat).alias("score"))
+@dataclass
+class Spread:
+    ridge: Ridge
+    center: dict[str, float]
+    scale: dict[str, float]
+
+
+def _log_spread(feats: DataFrame, m: Ridge, window: int) -> DataFrame:
+    """Log rolling standard deviation of every residual; null while the window fills."""
+    d = ordered.with_windows(_residuals(feats, m), ["grp"], lambda w: {f"_s{i}": F.log(F.coalesce(F.stddev_pop(c).over(w.rowsBetween(-(window - 1), 0)), F.lit(0.0)) + RSTD_EPS) for i, c in enumerate(m.coef)}, before=window - 1)
+    keep = [c for c in feats.columns if c in (*ID, "in_baseline")]
+    return d.select(*keep, *[F.when(F.col("pos") >= max(3, window // 4), F.col(f"_s{i}")).alias(c) for i, c in enumerate(m.coef)])
+
+
+def fit_resid_spread(feats: DataFrame, spec: Spec, mask: str | None = None) -> Spread:
+    """How widely the residuals of ``corr_break`` spread within a window, normally."""
+    m = fit_corr_break(feats, spec, mask)
+    t = _rows(scale_table(_base(_log_spread(feats, m, spec.window), mask), list(m.coef))) if m.coef else {}
+    return Spread(m, {c: t[c]["med"] for c in t}, {c: max(t[c]["scale"], 0.25) for c in t})
+
+
+def score_resid_spread(feats: DataFrame, m: Spread, spec: Spec) -> DataFrame:
+    """The largest standardised log spread is the score."""
+    if not m.center:
+        return feats.select(*ID, F.lit(0.0).alias("score"), *[F.lit(0.0).alias(f"c_{s}") for s in spec.signals])
+    stat = {c: F.coalesce(F.abs((F.col(c) - F.lit(m.center[c])) / F.lit(m.scale[c])), F.lit(0.0)) for c in m.center}
+    contrib = [(stat[fname("value", s)] * stat[fname("value", s)] if fname("value", s) in stat else F.lit(0.0)).alias(f"c_{s}") for s in spec.signals]
+    return _log_spread(feats, m.ridge, spec.window).select(*ID, F.greatest(F.lit(0.0), *stat.values()).alias("score"), *contrib)
 
 
 def fit_iforest(feats: DataFrame, spec: Spec, mask: str | None = None, trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
@@ -354,9 +374,8 @@ def _path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def score_iforest(feats: DataFrame, forest: DataFrame, spec: Spec) -> DataFrame:
+def score_iforest(feats: DataFrame, model: list[tuple[np.ndarray, int]], spec: Spec) -> DataFrame:
     cols = spec.names("value", "rmean", "rstd")
-    model = [(np.asarray(r["nodes"], dtype=float), r["n"]) for r in forest.orderBy("tree").collect()]  # trees x 2 * sample nodes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -400,7 +419,19 @@ def combine(norm: Sequence[Column], cap: float = 20.0) -> Column:
     return 0.7 * F.element_at(a, 1) + 0.3 * top
 
 
-DETECTORS = {"robust_z": (fit_robust_z, score_robust_z), "ewma": (fit_ewma, score_ewma), "cusum": (fit_cusum, score_cusum), "pca": (fit_pca, score_pca), "corr_break": (fit_corr_break, score_corr_break)}
+def grown_forest(feats: DataFrame, spec: Spec, mask: str | None = None) -> list[tuple[np.ndarray, int]]:
+    """The trees of an isolation forest as arrays: trees x 2 * sample nodes, whatever the table."""
+    return [(np.asarray(r["nodes"], dtype=float), r["n"]) for r in fit_iforest(feats, spec, mask).orderBy("tree").collect()]
+
+
+def score_grown_forest(feats: DataFrame, trees: list[tuple[np.ndarray, int]], spec: Spec) -> DataFrame:
+    """Isolation scores; no signal is named as their cause."""
+    return score_iforest(feats, trees, spec).select("*", *[F.lit(0.0).alias(f"c_{s}") for s in spec.signals])
+
+
+DETECTORS = {"robust_z": (fit_robust_z, score_robust_z), "ewma": (fit_ewma, score_ewma), "cusum": (fit_cusum, score_cusum), "pca": (fit_pca, score_pca), "corr_break": (fit_corr_break, score_corr_break),
+             "resid_spread": (fit_resid_spread, score_resid_spread), "iforest": (grown_forest, score_grown_forest)}
+CAP = 20.0
 
 
 @dataclass
@@ -411,50 +442,61 @@ class Model:
     ensemble: float = 1.0
 
 
-def score_detectors(feats: DataFrame, m: Model) -> DataFrame:
-    """Normalised scores of every detector, the ensemble and the share of each signal. Detector outputs meet on
-    (grp, row); all of them are partitioned by group and chunk already, so the joins are local to a group."""
+def raw_scores(feats: DataFrame, m: Model) -> DataFrame:
+    """Score of every detector as it is, and its share of each signal. Detector outputs meet on (grp, row); all of them are
+    partitioned by group and chunk already, so the joins are local to a group."""
     out = None
-    shares = {s: F.lit(0.0) for s in m.spec.signals}
     for name, fit in m.fitted.items():
         d = DETECTORS[name][1](feats, fit, m.spec)
         total = sum((F.col(f"c_{s}") for s in m.spec.signals), F.lit(0.0))
-        norm = F.least(F.lit(20.0), F.col("score") / F.lit(max(m.thresholds.get(name, 1.0), 1e-9)))
-        d = d.select("grp", "row", "pos", norm.alias(name), *[(F.col(f"c_{s}") / F.greatest(total, F.lit(1e-9))).alias(f"{name}_{s}") for s in m.spec.signals])
+        d = d.select("grp", "row", "pos", F.col("score").alias(name), *[(F.col(f"c_{s}") / F.greatest(total, F.lit(1e-9))).alias(f"{name}_{s}") for s in m.spec.signals])
         out = d if out is None else out.join(d.drop("pos"), ["grp", "row"])
+    return out
+
+
+def score_detectors(feats: DataFrame, m: Model) -> DataFrame:
+    """Normalised scores of every detector, the ensemble and the share of each signal."""
     names = list(m.fitted)
+    norm = [F.least(F.lit(CAP), F.col(n) / F.lit(max(m.thresholds.get(n, 1.0), 1e-9))).alias(n) for n in names]
+    d = raw_scores(feats, m).select("grp", "row", "pos", *norm, *[f"{n}_{s}" for n in names for s in m.spec.signals])
     w = sum((F.col(n) for n in names), F.lit(0.0))
-    for s in shares:
-        shares[s] = sum((F.col(n) / F.greatest(w, F.lit(1e-6)) * F.col(f"{n}_{s}") for n in names), F.lit(0.0))
+    shares = [sum((F.col(n) / F.greatest(w, F.lit(1e-6)) * F.col(f"{n}_{s}") for n in names), F.lit(0.0)).alias(f"share_{s}") for s in m.spec.signals]
     raw = combine([F.col(n) for n in names])
-    return out.select("grp", "row", "pos", *names, raw.alias("raw"), (raw / F.lit(m.ensemble)).alias("score"), *[c.alias(f"share_{s}") for s, c in shares.items()])
+    return d.select("grp", "row", "pos", *names, raw.alias("raw"), (raw / F.lit(m.ensemble)).alias("score"), *shares)
+
+
+def _fence(d: DataFrame, names: Sequence[str], q: float, margin: float) -> dict[str, float]:
+    t = S.wide_quantiles(d, {n: F.col(n) for n in names}, (q, 0.9, 0.75, 0.25, 0.5)).select("feature", S.threshold_of(F.col("q"), margin).alias("t"))
+    return {r["feature"]: r["t"] for r in t.collect()}
 
 
-def fit_model(wide: DataFrame, signals: Sequence[str], detectors: Sequence[str] = ("robust_z", "ewma", "cusum"), window: int = 20, mask: Column | None = None, trim: bool = True) -> Model:
-    """Fit, drop baseline rows beyond their own fence (when they are few), refit, calibrate."""
-    src = wide.withColumn("in_baseline", mask if mask is not None else F.lit(True))
+def fit_model(wide: DataFrame, signals: Sequence[str], detectors: Sequence[str] = ("robust_z", "ewma", "cusum"), window: int = 20, mask: Column | None = None, calibration: Column | None = None, trim: bool = True) -> Model:
+    """Fit on the rows of ``mask``; drop those that the fitted ensemble itself finds beyond their own fence (unless they are many) and fit again;
+    take every detector's threshold, and the ensemble's, from the rows of ``calibration`` (those of ``mask`` if there are none)."""
+    true = F.lit(True)
+    src = wide.withColumns({"in_baseline": mask if mask is not None else true, "in_calibration": calibration if calibration is not None else (mask if mask is not None else true)})
     spec = fit_features(src, signals, window, F.col("in_baseline"))
-    feats = once(features(src, spec, ["in_baseline"]))
-    m = Model(spec, {n: DETECTORS[n][0](feats, spec, "in_baseline") for n in detectors}, {})
-
-    def calibrate() -> None:
-        m.thresholds, m.ensemble = {}, 1.0
-        s = score_detectors(feats, m).join(feats.filter("in_baseline").select("grp", "row"), ["grp", "row"], "left_semi")
-        s = once(s.select(*detectors))
-        q = S.wide_quantiles(s, {n: F.col(n) for n in detectors}, (0.995, 0.9, 0.75, 0.25, 0.5))
-        m.thresholds = {r["feature"]: r["t"] for r in q.select("feature", S.threshold_of(F.col("q")).alias("t")).collect()}
-        raw = combine([F.col(n) / F.lit(m.thresholds[n]) for n in detectors])
-        m.ensemble = max(S.wide_quantiles(s, {"raw": raw}, [0.99]).first().q[0] or 0.0, 1e-6)
-
-    calibrate()
+    feats = once(features(src, spec, ["in_baseline", "in_calibration"]))
+    names = list(detectors)
+    m = Model(spec, {n: DETECTORS[n][0](feats, spec, "in_baseline") for n in names}, {})
+
+    def scored(rows: str) -> DataFrame:
+        return once(raw_scores(feats, m).select("grp", "row", *names).join(feats.filter(rows).select("grp", "row"), ["grp", "row"], "left_semi"))
+
     if trim:
-        hot = score_detectors(feats, m).filter("score >= 1").select("grp", "row")
-        share = hot.count() / max(1, feats.filter("in_baseline").count())
-        if 0 < share < 0.4:
-            flags = hot.withColumn("_hot", F.lit(1))
-            feats = feats.join(flags, ["grp", "row"], "left").withColumn("in_baseline", F.col("in_baseline") & F.col("_hot").isNull()).drop("_hot")
-            m.fitted = {n: DETECTORS[n][0](feats, spec, "in_baseline") for n in detectors}
-            calibrate()
+        own = scored("in_baseline")
+        thr = _fence(own, names, 0.995, 1.1)
+        own = own.withColumn("_e", combine([F.least(F.lit(CAP), F.col(n) / F.lit(thr[n])) for n in names]))
+        beyond = once(own.filter(F.col("_e") > F.lit(_fence(own, ["_e"], 0.995, 1.0)["_e"])).select("grp", "row", F.lit(1).alias("_hot")))
+        if 0 < beyond.count() < 0.4 * own.count():
+            feats = once(feats.join(beyond, ["grp", "row"], "left").withColumn("in_baseline", F.col("in_baseline") & F.col("_hot").isNull()).drop("_hot"))
+            m.fitted = {n: DETECTORS[n][0](feats, spec, "in_baseline") for n in names}
+    rows = scored("in_calibration")
+    if rows.isEmpty():
+        rows = scored("in_baseline")
+    m.thresholds = _fence(rows, names, 0.995, 1.1)
+    both = rows.select(combine([F.least(F.lit(CAP), F.col(n) / F.lit(m.thresholds[n])) for n in names]).alias("_e"))
+    m.ensemble = max(_fence(both, ["_e"], 0.99, 1.0)["_e"], 0.05)
     return m
 
 
@@ -462,10 +504,33 @@ def score_rows(wide: DataFrame, m: Model) -> DataFrame:
     return score_detectors(features(wide, m.spec), m)
 
 
-def fit_folds(wide: DataFrame, folds: DataFrame, k: int, signals: Sequence[str], **kw) -> dict[int, Model]:
-    """One model per fold, fitted on the groups outside it."""
-    d = wide.join(F.broadcast(folds.select("grp", "fold")), "grp")
-    return {f: fit_model(d.filter(F.col("fold") != f), signals, **kw) for f in range(k)}
+def dilated(rows: DataFrame, mask: Column, around: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: the mask, or a row of it within ``around`` rows of the same group (a normal core is too calm to calibrate on alone)."""
+    d = rows.withColumn("_m", mask.cast("int"))
+    near = ordered.with_windows(d.select("grp", "row", "pos", "_m"), ["grp"], lambda w: {out: F.max("_m").over(w.rowsBetween(-around, around)) == 1}, before=around, after=around)
+    return rows.join(near.select("grp", "row", out), ["grp", "row"])
+
+
+def fit_folds(wide: DataFrame, folds: DataFrame, k: int, signals: Sequence[str], duplicates: DataFrame | None = None, baseline: Column | None = None, window: int = 20, **how) -> dict[int, Model]:
+    """One model per fold, which never saw the fold's groups. Of the other groups whole families are kept back for calibration: detectors are fitted
+    on baseline rows of the rest, thresholds come from the baseline rows of those kept back and their neighbours within a window."""
+    base = baseline if baseline is not None else F.lit(True)
+    d = wide.join(folds.select("grp", "fold"), "grp").withColumn("_base", base)
+    models = {}
+    for f in range(k):
+        others = folds.filter(F.col("fold") != f).select("grp", "n_rows")
+        split = once(train_val_split(others, duplicates, 0.25, f).select("grp", "is_val"))
+        mine = dilated(d.join(split, "grp"), F.col("is_val") & F.col("_base"), window, "_near").withColumn("_cal", F.col("is_val") & F.col("_near"))
+        models[f] = fit_model(once(mine), signals, window=window, mask=~F.col("is_val") & F.col("_base"), calibration=F.col("_cal"), **how)
+    return models
+
+
+def fit_final(wide: DataFrame, signals: Sequence[str], folds: dict[int, Model], **how) -> Model:
+    """A model of all baseline rows with the median thresholds of the folds' models, which come from rows they were not fitted on."""
+    m = fit_model(wide, signals, **how)
+    m.thresholds = {n: float(np.median([f.thresholds[n] for f in folds.values()])) for n in m.fitted}
+    m.ensemble = float(np.median([f.ensemble for f in folds.values()]))
+    return m
 
 
 def score_all(wide: DataFrame, folds: DataFrame, models: dict[int, Model]) -> DataFrame:
@@ -497,6 +562,8 @@ def select_detectors(fold_thresholds: DataFrame, scores: DataFrame, detectors: S
     return d.crossJoin(F.broadcast(best)).withColumn("selected", F.col("reliability") >= 0.6 * F.col("_b")).drop("_b")
 
 
-def rescore(wide: DataFrame, m: Model, a: int, b: int, lookback: int = 500) -> DataFrame:
-    """Rows [a, b] scored again, with enough earlier rows for the rolling features and running statistics."""
-    return score_rows(wide.filter(F.col("row").between(a - lookback, b)), m).filter(F.col("row").between(a, b))
+def rescore(wide: DataFrame, m: Model, a: int, b: int) -> DataFrame:
+    """Rows [a, b] scored again. Running statistics reach back to the start of a group, so the rows before [a, b] of its groups are scored with it:
+    the result is that of a full score."""
+    touched = wide.filter(F.col("row").between(a, b)).select("grp").distinct()
+    return score_rows(wide.filter(F.col("row") <= b).join(touched, "grp", "left_semi"), m).filter(F.col("row").between(a, b))

@@ -93,4 +93,4 @@ def i9(spark, sf):
 
 @query("c10_segment_by_change")
 def c10(spark, sf):
-    return B.segment_by_change(z(spark, sf), COLS, 20)
+    return B.segment_by_change(B.zscores(V.dirty_wide(spark, sf), V.SIGNALS), COLS, 20)

@@ -110,14 +110,14 @@ def j7(spark, sf):
 def j8(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_resid_spread(f, J.fit_corr_break(f, s), s))
+    return score4(J.score_resid_spread(f, J.fit_resid_spread(f, s), s))
 
 
 @query("j9_isolation_forest")
 def j9(spark, sf):
     s = spec(spark, sf)
     f = feats(spark, sf)
-    return score4(J.score_iforest(f, J.fit_iforest(f, s), s))
+    return score4(J.score_iforest(f, J.grown_forest(f, s), s))
 
 
 def twin_groups(spark, sf):
@@ -171,13 +171,24 @@ def j14(spark, sf):
     return score4(J.score_detectors(f, m))
 
 
+ALL = tuple(J.DETECTORS)
+_FOLDS: dict[str, dict[int, J.Model]] = {}
 _MODEL: dict[str, J.Model] = {}
 
 
+def fold_models(spark, sf, k=2):
+    """Out-of-fold models of all detectors, fitted once per application and table."""
+    fl = V.staged(spark, sf, "folds", lambda s, d: folds(s, d, k), ["grp"])
+    key = f"{spark.sparkContext.applicationId}/{sf}"
+    if key not in _FOLDS:
+        _FOLDS[key] = J.fit_folds(V.sensor_wide(spark, sf), fl, k, V.SIGNALS, duplicates(spark, sf), detectors=ALL)
+    return fl, _FOLDS[key]
+
+
 def final_model(spark, sf) -> J.Model:
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _MODEL:
-        _MODEL[key] = J.fit_model(V.sensor_wide(spark, sf), V.SIGNALS, trim=False)
+        _MODEL[key] = J.fit_final(V.sensor_wide(spark, sf), V.SIGNALS, fold_models(spark, sf)[1], detectors=ALL)
     return _MODEL[key]
 
 
@@ -186,15 +197,13 @@ def score_table(spark, sf):
     return V.staged(spark, sf, "scores", lambda s, d: J.score_rows(V.dirty_wide(s, d), final_model(s, d)), ["row"])
 
 
-_FOLDS: dict[str, dict[int, J.Model]] = {}
-
+def fold_scores(spark, sf):
+    """Every row scored by the model that never saw its group, written once."""
+    def build(s, d):
+        fl, models = fold_models(s, d)
+        return J.score_all(V.sensor_wide(s, d), fl, models)
 
-def fold_models(spark, sf, k=2):
-    fl = V.staged(spark, sf, "folds", lambda s, d: folds(s, d, k), ["grp"])
-    key = f"{spark.sparkContext.applicationId}/{sf}"
-    if key not in _FOLDS:
-        _FOLDS[key] = J.fit_folds(V.sensor_wide(spark, sf), fl, k, V.SIGNALS, detectors=("robust_z", "ewma"), trim=False)
-    return fl, _FOLDS[key]
+    return V.staged(spark, sf, "fold_scores", build, ["row"])
 
 
 @query("j13_fold_thresholds")
@@ -209,13 +218,12 @@ def j15(spark, sf):
     _, models = fold_models(spark, sf)
     rows = [(n, float(t)) for m in models.values() for n, t in m.thresholds.items()]
     thr = spark.createDataFrame(rows, "detector string, threshold double")
-    return J.select_detectors(thr, score_table(spark, sf), ["robust_z", "ewma"])
+    return J.select_detectors(thr, fold_scores(spark, sf), list(ALL))
 
 
 @query("j16_score_all_rows")
 def j16(spark, sf):
-    fl, models = fold_models(spark, sf)
-    return J.top_signals(J.score_all(V.sensor_wide(spark, sf), fl, models), V.SIGNALS)
+    return J.top_signals(fold_scores(spark, sf), V.SIGNALS)
 
 
 @query("j17_score_batch")
