@@ -23,11 +23,18 @@ def runs(spark):
     return spark.createDataFrame(rows, "grp string, row long, pos long, s01 double, s02 double, s03 double").repartition(4).cache()
 
 
+def test_trimming_and_calibration(runs):
+    """Faulty rows among the fitted ones are dropped, so the fault stands out more clearly."""
+    names = ("robust_z", "pca")
+    loose, tight = (detect.fit_model(runs, SIG, names, mask=F.col("grp").isin("g7", "g8"), calibration=F.col("grp") == "g3", trim=t) for t in (False, True))
+    assert tight.fitted["robust_z"].scale["value__s01"] <= loose.fitted["robust_z"].scale["value__s01"] and set(tight.thresholds) == set(names)
+
+
 def test_protocol(spark, runs):
     groups = runs.groupBy("grp").agg(F.count("*").alias("n_rows"))
     dup = trajectories.near_duplicate_groups(runs, SIG)
     folds = detect.group_folds(groups, dup, 2).cache()
-    models = detect.fit_folds(runs, folds, 2, SIG, dup, detectors=tuple(detect.DETECTORS))
+    models = detect.fit_folds(runs, folds, 2, SIG, dup, detectors=tuple(detect.DETECTORS), trim=False)
     assert all(set(m.thresholds) == set(detect.DETECTORS) and len(m.thresholds) == 7 and all(t > 0 for t in m.thresholds.values()) for m in models.values())
     s = detect.score_all(runs, folds, models).toPandas()
     assert len(s) == 9 * 260 and s.row.is_unique

@@ -171,7 +171,7 @@ def _ewma(feats: DataFrame, m: Linear, lam: float) -> DataFrame:
 
 def fit_ewma(feats: DataFrame, spec: Spec, mask: str | None = None, lam: float = 0.15) -> Linear:
     m = _fit_linear(feats, spec.names("value", "rstd"), mask, "mean")
-    m.q = _extremes(_base(_ewma(feats, m, lam), mask), list(m.center), 1.0)
+    m.q = _extremes(once(_base(_ewma(feats, m, lam), mask).select(*m.center)), list(m.center), 1.0)
     return m
 
 
@@ -190,7 +190,7 @@ def _cusum(feats: DataFrame, m: Linear, k: float, cap: float) -> DataFrame:
 
 def fit_cusum(feats: DataFrame, spec: Spec, mask: str | None = None, k: float = 1.0, cap: float = 30.0) -> Linear:
     m = _fit_linear(feats, spec.names("value", "rstd"), mask, "mean")
-    m.q = _extremes(_base(_cusum(feats, m, k, cap), mask), list(m.center), 0.1 * cap)
+    m.q = _extremes(once(_base(_cusum(feats, m, k, cap), mask).select(*m.center)), list(m.center), 0.1 * cap)
     return m
 
 
@@ -271,7 +271,7 @@ def _residuals(feats: DataFrame, m: Ridge) -> DataFrame:
     return feats.select(*keep, *res)
 
 
-def fit_corr_break(feats: DataFrame, spec: Spec, mask: str | None = None, peers: int = 8, lam: float = 0.08) -> Ridge:
+def _ridge(feats: DataFrame, spec: Spec, mask: str | None, peers: int) -> Ridge:
     """Each signal predicted from its most correlated peers by ridge regression on one Gram matrix."""
     cols = spec.names("value")
     n, mu, cov = _gram(_base(feats, mask), cols)
@@ -285,13 +285,20 @@ def fit_corr_break(feats: DataFrame, spec: Spec, mask: str | None = None, peers:
             continue  # a derived signal has no residual of its own
         m.coef[t] = {cols[i]: float(x) for i, x in zip(order, b)}
         m.icpt[t] = float(mu[j] - b @ mu[order])
+    return m
+
+
+def fit_corr_break(feats: DataFrame, spec: Spec, mask: str | None = None, peers: int = 8, lam: float = 0.08) -> Ridge:
+    """Peers' ridge regressions, and the normal extremes of their residuals and of the residuals' running means."""
+    m = _ridge(feats, spec, mask, peers)
     if not m.coef:
         return m
-    r = _residuals(feats, m)
     targets = list(m.coef)
-    m.q = _extremes(_base(r, mask), targets, 1.0)
-    e = ordered.ewma(r, ["grp"], {f"_e{i}": F.col(c) for i, c in enumerate(targets)}, lam)
-    m.qe = dict(zip(targets, _extremes(_base(e, mask), [f"_e{i}" for i in range(len(targets))], 0.2).values()))
+    e = ordered.ewma(_residuals(feats, m), ["grp"], {f"_e{i}": F.col(c) for i, c in enumerate(targets)}, lam)
+    e = once(_base(e, mask).select(*targets, *[f"_e{i}" for i in range(len(targets))]))
+    m.q = _extremes(e, targets, 1.0)
+    qe = _extremes(e, [f"_e{i}" for i in range(len(targets))], 0.2)
+    m.qe = {c: qe[f"_e{i}"] for i, c in enumerate(targets)}
     return m
 
 
@@ -321,8 +328,8 @@ def _log_spread(feats: DataFrame, m: Ridge, window: int) -> DataFrame:
 
 def fit_resid_spread(feats: DataFrame, spec: Spec, mask: str | None = None) -> Spread:
     """How widely the residuals of ``corr_break`` spread within a window, normally."""
-    m = fit_corr_break(feats, spec, mask)
-    t = _rows(scale_table(_base(_log_spread(feats, m, spec.window), mask), list(m.coef))) if m.coef else {}
+    m = _ridge(feats, spec, mask, 8)
+    t = _rows(scale_table(once(_base(_log_spread(feats, m, spec.window), mask).select(*m.coef)), list(m.coef))) if m.coef else {}
     return Spread(m, {c: t[c]["med"] for c in t}, {c: max(t[c]["scale"], 0.25) for c in t})
 
 

@@ -181,14 +181,14 @@ def fold_models(spark, sf, k=2):
     fl = V.staged(spark, sf, "folds", lambda s, d: folds(s, d, k), ["grp"])
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _FOLDS:
-        _FOLDS[key] = J.fit_folds(V.sensor_wide(spark, sf), fl, k, V.SIGNALS, duplicates(spark, sf), detectors=ALL)
+        _FOLDS[key] = J.fit_folds(V.sensor_wide(spark, sf), fl, k, V.SIGNALS, duplicates(spark, sf), detectors=ALL, trim=False)
     return fl, _FOLDS[key]
 
 
 def final_model(spark, sf) -> J.Model:
     key = f"{spark.sparkContext.applicationId}/{sf}"
     if key not in _MODEL:
-        _MODEL[key] = J.fit_final(V.sensor_wide(spark, sf), V.SIGNALS, fold_models(spark, sf)[1], detectors=ALL)
+        _MODEL[key] = J.fit_final(V.sensor_wide(spark, sf), V.SIGNALS, fold_models(spark, sf)[1], detectors=ALL, trim=False)
     return _MODEL[key]
 
 
