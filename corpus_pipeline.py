@@ -46,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("best-fit packing", packing)]
 
-#: SQL has no form for the outlier estimate, tokens and packing; tests hold each stage against brute force.
+#: SQL has no form for the outlier estimate, tokens and packing; tests hold the operators against brute force, and of the stages what they keep and return.
 ORACLE_SQL = None
 
 
