@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trustwatch.operators import audit, detect, graph, monitor, profile, quality, rules
+from trustwatch.operators import audit, detect, graph, lags, monitor, profile, quality, rules
 from trustwatch.plans import views as V
 
 
@@ -24,7 +24,7 @@ def plant(spark):
 
 
 def test_relations_and_redundancy(plant):
-    e = profile.lagged_xcorr(plant, [("s01", "s02")], 5).first()
+    e = lags.lagged_xcorr(plant, [("s01", "s02")], 5).first()
     assert (e["a"], e["b"], e["lag"]) == ("s01", "s02", 2)
     red = {r["signal"]: set(r["partners"]) for r in profile.redundant_signals(plant, ["s01", "s02", "s03"]).collect()}
     assert red["s03"] == {"s01", "s02"}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
-from trustwatch.operators import ordered
+from trustwatch.operators import lags, ordered
 from trustwatch.operators.quality import once
 from trustwatch.operators.trajectories import families, train_val_split
 
@@ -209,6 +210,29 @@ def _gram(df: DataFrame, cols: Sequence[str]) -> tuple[float, np.ndarray, np.nda
     return n, mu, g[1:, 1:] / n - np.outer(mu, mu)
 
 
+def gram_sums(df: DataFrame, cols: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, means and covariance of any number of columns: a task sends one matrix for all its rows, cells are added up as rows."""
+    k = len(cols) + 1
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for f in batches:
+            x = f.to_numpy(dtype=float)
+            x = x[np.isfinite(x).all(axis=1)]
+            x = np.column_stack([np.ones(len(x)), x])
+            total += x.T @ x
+        if total[0, 0]:
+            yield pd.DataFrame({"i": np.arange(k), "x": list(total)})
+
+    cells = df.select(*cols).mapInPandas(part, "i int, x array<double>").select("i", F.posexplode("x").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    g = np.zeros((k, k))
+    for r in cells.collect():
+        g[r.i, r.j] = r.x
+    n = max(g[0, 0], 1.0)
+    mu = g[0, 1:] / n
+    return n, mu, g[1:, 1:] / n - np.outer(mu, mu)
+
+
 @dataclass
 class Pca:
     cols: list[str]
@@ -259,32 +283,67 @@ def score_pca(feats: DataFrame, m: Pca, spec: Spec) -> DataFrame:
 
 @dataclass
 class Ridge:
+    """Per target: coefficients of shifted peers, intercept and normal extremes. ``shift``: shifted peer to its column and lag in rows."""
+
     coef: dict[str, dict[str, float]]
     icpt: dict[str, float]
     q: dict[str, float] = field(default_factory=dict)
     qe: dict[str, float] = field(default_factory=dict)
+    shift: dict[str, tuple[str, int]] = field(default_factory=dict)
+
+
+def _shifted(feats: DataFrame, shift: dict[str, tuple[str, int]]) -> DataFrame:
+    """The peers' readings ``lag`` rows earlier in their group; 0, the centre, before its first row."""
+    late = {n: at for n, at in shift.items() if at[1]}
+    if not late:
+        return feats
+    return ordered.with_windows(feats, ["grp"], lambda w: {n: F.coalesce(F.lag(c, k).over(w), F.lit(0.0)) for n, (c, k) in late.items()}, before=max(k for _, k in late.values()))
 
 
 def _residuals(feats: DataFrame, m: Ridge) -> DataFrame:
     keep = [c for c in feats.columns if c in (*ID, "in_baseline")]
     res = [(F.col(t) - F.lit(m.icpt[t]) - sum((F.lit(b) * F.col(p) for p, b in pb.items()), F.lit(0.0))).alias(t) for t, pb in m.coef.items()]
-    return feats.select(*keep, *res)
+    return _shifted(feats, m.shift).select(*keep, *res)
+
 
+def peer_lags(feats: DataFrame, cols: Sequence[str], mask: str | None = None, max_lag: int = 10, gain: float = 0.02) -> dict[tuple[str, str], tuple[int, float]]:
+    """(target, peer) -> (lag, |r|): how many rows before the target the peer is read, and their correlation there.
 
-def _ridge(feats: DataFrame, spec: Spec, mask: str | None, peers: int) -> Ridge:
-    """Each signal predicted from its most correlated peers by ridge regression on one Gram matrix."""
+    Only earlier rows of the peer are asked, so that a score never depends on rows to come. Lag 0 stays unless another one is better by ``gain``; ties: the smallest lag.
+    """
+    c = lags.curves(lags.lag_sums(feats, list(combinations(cols, 2)), max_lag, kinds=("x",), detrend=False, mask=F.expr(mask) if mask else None)).filter("r IS NOT NULL")
+    a_leads = F.when(F.col("lag") >= 0, F.struct(F.col("b").alias("t"), F.col("a").alias("p"), F.abs("lag").alias("k"), F.abs("r").alias("r")))
+    b_leads = F.when(F.col("lag") <= 0, F.struct(F.col("a").alias("t"), F.col("b").alias("p"), F.abs("lag").alias("k"), F.abs("r").alias("r")))
+    sides = c.select(F.explode(F.array_compact(F.array(a_leads, b_leads))).alias("x")).select("x.*")
+    best = sides.groupBy("t", "p").agg(F.coalesce(F.max(F.when(F.col("k") == 0, F.col("r"))), F.lit(0.0)).alias("r0"), F.max(F.struct("r", (-F.col("k")).alias("back"))).alias("best"))
+    return {(r.t, r.p): (-r.best.back, r.best.r) if r.best.r > r.r0 + gain else (0, r.r0) for r in best.collect()}  # as many as the Gram matrix has entries
+
+
+def _ridge(feats: DataFrame, spec: Spec, mask: str | None, peers: int, max_lag: int = 10) -> Ridge:
+    """Each signal predicted by ridge regression from the peers that correlate most with it at their best lag."""
     cols = spec.names("value")
-    n, mu, cov = _gram(_base(feats, mask), cols)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    m = Ridge({}, {})
-    for j, t in enumerate(cols):
-        order = [i for i in np.argsort(-np.abs(cov[j] / sd / sd[j])) if i != j][:peers]
+    best = peer_lags(feats, cols, mask, max_lag) if len(cols) > 1 else {}
+    chosen, shift = {}, {}
+    for t in cols:
+        order = sorted((p for p in cols if (t, p) in best), key=lambda p: (-best[t, p][1], cols.index(p)))[:peers]
+        chosen[t] = [p if best[t, p][0] == 0 else f"{p}__lag{best[t, p][0]}" for p in order]
+        shift.update({n: (p, best[t, p][0]) for n, p in zip(chosen[t], order)})
+    names = [*cols, *sorted(n for n, (_, k) in shift.items() if k)]
+    at = {n: i for i, n in enumerate(names)}
+    n, mu, cov = gram_sums(_base(_shifted(feats, shift), mask), names)
+    m = Ridge({}, {}, shift=shift)
+    for t in cols:
+        j, order = at[t], [at[p] for p in chosen[t]]
+        if not order:
+            continue
         a = cov[np.ix_(order, order)] + 0.05 * np.eye(len(order))
         b = np.linalg.solve(a, cov[order, j])
         if cov[j, j] <= 0 or 1 - (cov[j, j] - 2 * b @ cov[order, j] + b @ cov[np.ix_(order, order)] @ b) / cov[j, j] > 0.99:
             continue  # a derived signal has no residual of its own
-        m.coef[t] = {cols[i]: float(x) for i, x in zip(order, b)}
+        m.coef[t] = {p: float(x) for p, x in zip(chosen[t], b)}
         m.icpt[t] = float(mu[j] - b @ mu[order])
+    used = {p for pb in m.coef.values() for p in pb}
+    m.shift = {p: x for p, x in shift.items() if p in used}
     return m
 
 

@@ -183,42 +183,6 @@ def spearman_matrix(wide: DataFrame, signals: Sequence[str]) -> DataFrame:
     return corr_matrix(d.select(*[F.col(f"_r_{s}").alias(s) for s in signals]), signals)
 
 
-def lagged_xcorr(wide: DataFrame, pairs: Sequence[tuple[str, str]], max_lag: int, held: Sequence[str] = (), min_diff: float = 0.1) -> DataFrame:
-    """Best lag per pair (positive: a leads b). Correlation of differences when its peak reaches ``min_diff``, else of
-    levels; the smallest lag within 10 % of the peak wins. Pairs with a held signal use its update instants only."""
-    sig = sorted({s for p in pairs for s in p})
-    d = ordered.with_windows(wide.select("grp", "pos", *sig), ["grp"], lambda w: {f"d_{s}": F.col(s) - F.lag(s).over(w) for s in sig}, before=1, keep_chunk=False)
-    kinds = ("x", "d")
-    cols = {}
-
-    def lags(w):
-        for a, b in pairs:
-            for kind in kinds:
-                for k in range(-max_lag, max_lag + 1):
-                    x, y = (a, b) if kind == "x" else (f"d_{a}", f"d_{b}")
-                    lead, follow = (x, y) if k >= 0 else (y, x)
-                    ok = F.lit(True)
-                    for s in (a, b):
-                        if s in held:
-                            ok = ok & (F.col(f"d_{s}") != 0)
-                    cols[f"{kind}|{a}|{b}|{k}"] = F.when(ok, F.struct(F.lag(lead, abs(k)).over(w).alias("u"), F.col(follow).alias("v")))
-        return cols
-
-    d = ordered.with_windows(d, ["grp"], lags, before=max_lag)
-    keep = [n for n in cols if not any(s in held for s in n.split("|")[1:3]) or n.startswith("x|")]
-    a = d.agg(*[F.corr(F.col(f"`{n}`.u"), F.col(f"`{n}`.v")).alias(n) for n in keep])
-    rows = F.array(*[F.struct(F.lit(n.split("|")[0]).alias("kind"), F.lit(n.split("|")[1]).alias("a"), F.lit(n.split("|")[2]).alias("b"), F.lit(int(n.split("|")[3])).alias("lag"), F.col(f"`{n}`").alias("r")) for n in keep])
-    c = a.select(F.explode(rows).alias("p")).select("p.*")
-    peak = c.groupBy("a", "b").agg(F.max(F.when(F.col("kind") == "d", F.abs("r"))).alias("pd"), F.max(F.when(F.col("kind") == "x", F.abs("r"))).alias("px"), F.max(F.when((F.col("kind") == "x") & (F.col("lag") == 0), F.col("r"))).alias("r"))
-    use_d = F.coalesce(F.col("pd") >= min_diff, F.lit(False))
-    c = c.withColumnRenamed("r", "r_at_lag").join(peak, ["a", "b"])
-    c = c.filter((F.col("kind") == F.when(use_d, "d").otherwise("x")) & (F.abs("r_at_lag") >= 0.9 * F.when(use_d, F.col("pd")).otherwise(F.col("px"))))
-    best = ordered.first_k(c, ["a", "b"], [F.abs("lag"), F.desc(F.abs("r_at_lag")), F.desc("lag")], 1)
-    swap = F.col("lag") < 0
-    return best.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.abs("lag").alias("lag"), "r_at_lag", "r",
-                       F.when(F.col("kind") == "d", "difference").otherwise("level").alias("method"))
-
-
 def signal_clusters(nodes: DataFrame, pairs: DataFrame, min_r: float = 0.6) -> DataFrame:
     """Signals that move together: connected components over |r| >= min_r. ``nodes``: id."""
     return connected_components(nodes, pairs.filter(F.abs("r") >= min_r).select("a", "b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
+from trustwatch.operators import lags as L
 from trustwatch.operators import ordered
 from trustwatch.operators import profile as P
 from trustwatch.plans import q_quality as QQ
@@ -107,36 +108,52 @@ def e9_spearman(spark, sf):
     return rd(P.spearman_matrix(V.sensor_wide(spark, sf), V.SIGNALS), ["a", "b"], ["r"])
 
 
-def lag_view(spark, sf):
-    """s06 follows s01 by two rows, s07 is s02 held over four rows."""
-    w = V.sensor_wide(spark, sf).select("grp", "pos", "row", *V.SIGNALS)
-    d = ordered.with_windows(w, ["grp"], lambda x: {"s06": F.lag("s01", 2).over(x) + F.col("s03"), "s07": F.lag("s02", 0).over(x)}, before=2)
-    return d
-
+LAGGED = [*V.SIGNALS, "s06", "s07"]
+LAG_PAIRS = [(a, b) for i, a in enumerate(LAGGED) for b in LAGGED[i + 1:]]
+MAX_LAG = 30
 
-LAGV = W + ", lv AS (SELECT grp, pos, s01, s02, s03, s06, s01 - lag(s01) OVER w AS d1, s02 - lag(s02) OVER w AS d2, s06 - lag(s06) OVER w AS d6 FROM (SELECT *, lag(s01, 2) OVER (PARTITION BY grp ORDER BY pos) + s03 AS s06 FROM sensor_wide) WINDOW w AS (PARTITION BY grp ORDER BY pos))"
 
+def lag_view(spark, sf):
+    """s06 follows s01 by two rows; s07 samples s03 of the row before every fourth row and holds it."""
+    w = V.sensor_wide(spark, sf).select("grp", "pos", "row", *V.SIGNALS)
 
-def xcorr_sql(a: str, b: str, da: str, db: str, n: int, where: str = "true") -> str:
-    parts = []
-    for k in range(-n, n + 1):
-        for kind, x, y in (("d", da, db), ("x", a, b)):
-            if where != "true" and kind == "d":
-                continue
-            lead, follow = (x, y) if k >= 0 else (y, x)
-            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, '{kind}' AS kind, {k} AS lag, corr(u, v) AS r FROM (SELECT lag({lead}, {abs(k)}) OVER (PARTITION BY grp ORDER BY pos) AS u, {follow} AS v, {where} AS ok FROM lv) WHERE ok")
-    return " UNION ALL ".join(parts)
+    def cols(x):
+        held = F.coalesce(*[F.when(F.pmod("pos", F.lit(4)) == k, F.lag("s03", k + 1).over(x)) for k in range(4)])
+        return {"s06": F.lag("s01", 2).over(x) + F.col("s03"), "s07": held}
+
+    return ordered.with_windows(w, ["grp"], cols, before=4)
+
+
+def lag_curves_sql(pairs, kinds=("x", "d")) -> str:
+    """The correlation of every pair at every lag by one join of rows with earlier rows; the small wide result is then turned into rows."""
+    both = [(a, b, c, u, v, f"{u}|{v}|{c}") for a, b in pairs for c in kinds for u, v in ((a, b), (b, a))]
+    lines = ", ".join(f"avg({s}) AS m_{s}, coalesce(regr_slope({s}, pos), 0) AS b_{s}, avg(CASE WHEN {s} IS NOT NULL THEN pos END) AS p_{s}" for s in LAGGED)
+    level = ", ".join(f"{s} - m_{s} - b_{s} * (pos - p_{s}) AS x_{s}" for s in LAGGED)
+    step = ", ".join(f"x_{s} - lag(x_{s}) OVER w AS d_{s}" for s in LAGGED)
+    fresh = ", ".join(f"CASE WHEN pos = 0 OR {s} <> lag({s}) OVER w THEN x_{s} END AS u_{s}" if s in HELD else f"x_{s} AS u_{s}" for s in LAGGED)
+    corr = ", ".join(f'CASE WHEN count(CASE WHEN u.{c}_{u} IS NOT NULL THEN v.{c}_{v} END) >= 20 THEN corr(u.{c}_{u}, v.{c}_{v}) END AS "{n}"' for _, _, c, u, v, n in both)
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, '{c}' AS kind, CAST({'k' if u == a else '-k'} AS INTEGER) AS lag, \"{n}\" AS r FROM wide_curves" + ("" if u == a else " WHERE k > 0") for a, b, c, u, v, n in both)
+    return W + f""", raw AS (SELECT grp, pos, s01, s02, s03, s04, s05, lag(s01, 2) OVER w + s03 AS s06, CASE pos % 4 WHEN 0 THEN lag(s03, 1) OVER w WHEN 1 THEN lag(s03, 2) OVER w WHEN 2 THEN lag(s03, 3) OVER w ELSE lag(s03, 4) OVER w END AS s07
+  FROM sensor_wide WINDOW w AS (PARTITION BY grp ORDER BY pos)),
+fit AS (SELECT grp, {lines} FROM raw GROUP BY grp), lev AS (SELECT raw.*, {level} FROM raw JOIN fit USING (grp)),
+lv AS MATERIALIZED (SELECT *, {step}, {fresh} FROM lev WINDOW w AS (PARTITION BY grp ORDER BY pos)),
+wide_curves AS MATERIALIZED (SELECT k, {corr} FROM (SELECT unnest(range(0, {MAX_LAG + 1})) AS k) l, lv v JOIN lv u ON u.grp = v.grp AND u.pos = v.pos - k GROUP BY k),
+xc AS MATERIALIZED ({rows}),
+pk AS (SELECT a, b, max(CASE WHEN kind = 'd' THEN abs(r) END) AS pd, max(CASE WHEN kind = 'x' THEN abs(r) END) AS px, max(CASE WHEN kind = 'u' THEN abs(r) END) AS pu, count(CASE WHEN kind = 'u' THEN r END) AS nu, max(CASE WHEN kind = 'x' AND lag = 0 THEN r END) AS r0 FROM xc GROUP BY 1, 2),
+us AS (SELECT *, CASE WHEN nu >= 3 THEN 'u' WHEN pd >= 0.1 THEN 'd' ELSE 'x' END AS use FROM pk),
+bs AS (SELECT xc.*, r0, row_number() OVER (PARTITION BY xc.a, xc.b ORDER BY abs(lag), abs(r) DESC, lag DESC) AS rn FROM xc JOIN us USING (a, b)
+       WHERE kind = use AND abs(r) >= CASE use WHEN 'u' THEN pu WHEN 'd' THEN 0.9 * pd ELSE 0.9 * px END),
+edges AS (SELECT CASE WHEN lag < 0 THEN b ELSE a END AS a, CASE WHEN lag < 0 THEN a ELSE b END AS b, abs(lag) AS lag, r AS r_at_lag, r0 AS r, kind FROM bs WHERE rn = 1)"""
 
 
-XTAIL = """, pk AS (SELECT a, b, max(CASE WHEN kind = 'd' THEN abs(r) END) AS pd, max(CASE WHEN kind = 'x' THEN abs(r) END) AS px, max(CASE WHEN kind = 'x' AND lag = 0 THEN r END) AS r0 FROM xc GROUP BY 1, 2),
-bs AS (SELECT xc.*, r0, row_number() OVER (PARTITION BY xc.a, xc.b ORDER BY abs(lag), abs(r) DESC, lag DESC) AS rn FROM xc JOIN pk USING (a, b)
-       WHERE kind = (CASE WHEN coalesce(pd >= 0.1, false) THEN 'd' ELSE 'x' END) AND abs(r) >= 0.9 * (CASE WHEN coalesce(pd >= 0.1, false) THEN pd ELSE px END)),
-edges AS (SELECT CASE WHEN lag < 0 THEN b ELSE a END AS a, CASE WHEN lag < 0 THEN a ELSE b END AS b, abs(lag) AS lag, r AS r_at_lag, r0 AS r, kind FROM bs WHERE rn = 1)"""
-XC = LAGV + ", xc AS (" + xcorr_sql("s01", "s06", "d1", "d6", 6) + " UNION ALL " + xcorr_sql("s02", "s06", "d2", "d6", 6) + " UNION ALL " + xcorr_sql("s01", "s02", "d1", "d2", 6) + ")" + XTAIL
+HELD = ["s07"]
+XC = lag_curves_sql(LAG_PAIRS)
+XM = lag_curves_sql([p for p in LAG_PAIRS if "s07" in p], ("x", "d", "u"))
 
 
 def find_edges(spark, sf):
-    return P.lagged_xcorr(lag_view(spark, sf), [("s01", "s06"), ("s02", "s06"), ("s01", "s02")], 6)
+    """All pairs, as the planted ones have no correlation at lag 0; ``strongest_pairs`` would choose them otherwise."""
+    return L.lagged_xcorr(lag_view(spark, sf), LAG_PAIRS, MAX_LAG)
 
 
 def edges(spark, sf):
@@ -149,9 +166,15 @@ def e10(spark, sf):
     return rd(find_edges(spark, sf), ["a", "b", "lag"], ["r_at_lag", "r"])
 
 
-@query("e11_masked_xcorr", LAGV + ", xc AS (" + xcorr_sql("s01", "s06", "d1", "d6", 4, "d1 <> 0") + ")" + XTAIL + " SELECT a, b, lag, round(r_at_lag, 4) AS r_at_lag FROM edges")
+@query("e10_strongest_pairs", W + ", c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM sensor_wide" for a, b in PAIRS) + ") SELECT a, b FROM c WHERE abs(r) >= 0.3 ORDER BY abs(r) DESC LIMIT 80")
+def e10_pairs(spark, sf):
+    w = V.sensor_wide(spark, sf)
+    return spark.createDataFrame(L.strongest_pairs(P.corr_matrix(w, V.SIGNALS)), "a string, b string")
+
+
+@query("e11_masked_xcorr", XM + " SELECT a, b, lag, round(r_at_lag, 4) AS r_at_lag FROM edges")
 def e11(spark, sf):
-    d = P.lagged_xcorr(lag_view(spark, sf), [("s01", "s06")], 4, held=["s01"])
+    d = L.lagged_xcorr(lag_view(spark, sf), [p for p in LAG_PAIRS if "s07" in p], MAX_LAG, held=HELD)
     return rd(d, ["a", "b", "lag"], ["r_at_lag"])
 
 
