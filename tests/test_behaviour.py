@@ -75,11 +75,12 @@ def test_components(spark):
     assert [got[i] for i in range(12)] == [0] * 9 + [9, 9, 11]
 
 
-def test_hysteresis():
-    assert monitor.next_status("quiet", [0.1, 0.4], 1, 2, 2)[0] == "imminent"
-    assert monitor.next_status("quiet", [0.7], 2, 2, 2)[0] == "occurring"
-    assert monitor.next_status("occurring", [0.7, 0.5], 1, 2, 2)[0] == "occurring"
-    assert monitor.next_status("occurring", [0.7, 0.1], 0, 0, 2)[0] == "quiet"
+def test_hysteresis(spark):
+    cases = [("quiet", 0.4, 1, 2, True, "imminent"), ("quiet", 0.7, 2, 2, False, "occurring"), ("occurring", 0.5, 1, 2, False, "occurring"), ("occurring", 0.1, 0, 0, False, "quiet")]
+    d = spark.createDataFrame(cases, "before string, score double, matched int, moving int, rising boolean, after string")
+    d = d.withColumn("map", monitor.status_map(F.col("score"), F.col("matched"), F.col("moving"), F.lit(2), F.col("rising"), F.col("score")))
+    for r in d.collect():
+        assert monitor.STATUS[r.map[monitor.STATUS.index(r.before)]] == r.after
 
 
 def test_sealed_segments_show_what_was_removed(spark):
