@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -125,40 +123,6 @@ def build_flags(events: DataFrame, points: DataFrame, onset: DataFrame, window:
 
 
 # ------------------------------------------------------------------ onsets
-def onsets(scores: DataFrame, drift: float = 0.75, h: float = 3.0) -> DataFrame:
-    """CUSUM onset of each group: the row after the last zero before the first alarm; abrupt when the score reaches
-    80 % of its later mean within ten rows."""
-    c = ordered.cusum(scores.select("grp", "row", "pos", "score"), ["grp"], {"c": F.col("score") - drift})
-    al = c.groupBy("grp").agg(F.min(F.when(F.col("c") > h, F.col("pos"))).alias("alarm")).filter("alarm is not null")
-    d = c.join(al, "grp")
-    z = d.groupBy("grp", "alarm").agg(F.coalesce(F.max(F.when((F.col("c") <= 1e-9) & (F.col("pos") <= F.col("alarm")), F.col("pos"))) + 1, F.lit(0).cast("long")).alias("onset"))
-    z = z.withColumn("onset", F.least("onset", "alarm"))
-    e = c.join(z, "grp").filter(F.col("pos").between(F.col("onset"), F.col("onset") + 199))
-    later = e.groupBy("grp", "onset", "alarm").agg(F.avg("score").alias("m"), F.min(F.when(F.col("pos") == F.col("onset"), F.col("row"))).alias("row"))
-    near = e.join(later.select("grp", "m"), "grp").groupBy("grp").agg(F.min(F.when(F.col("score") >= 0.8 * F.col("m"), F.col("pos") - F.col("onset"))).alias("rise"))
-    return later.join(near, "grp").select("grp", "row", F.col("onset").alias("pos"), "alarm", F.when(F.coalesce("rise", F.lit(999)) <= 10, "abrupt").otherwise("gradual").alias("kind"))
-
-
-def knee_onsets(scores: DataFrame, stretch: int = 2000) -> DataFrame:
-    """Flat-then-linear knee per group on at most 2000 bucket means (the fit sees the means, not the rows)."""
-    n = scores.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    d = scores.join(n, "grp").groupBy("grp", F.floor(F.col("pos") * stretch / F.greatest(F.col("_n"), F.lit(stretch))).cast("long").alias("b")).agg(F.avg("score").alias("s"), F.min("row").alias("row"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("b")
-        x = np.log1p(np.maximum(p["s"].to_numpy(dtype=float), 0))
-        m, best = len(x), (np.inf, 0)
-        for k in range(3, m - 3, max(1, m // 200)):
-            t = np.arange(m - k, dtype=float)
-            a = x[:k].mean()
-            slope = max(0.0, float(t @ (x[k:] - a) / max(t @ t, 1e-9)))
-            sse = ((x[:k] - a) ** 2).sum() + ((x[k:] - a - slope * t) ** 2).sum()
-            best = min(best, (sse, k))
-        return pd.DataFrame({"grp": [p["grp"].iloc[0]], "row": [int(p["row"].iloc[best[1]])], "sse": [float(best[0])]})
-
-    return d.groupBy("grp").applyInPandas(fit, "grp string, row long, sse double")
-
-
 def signal_onsets(z: DataFrame, signals: Sequence[str], thr: float = 2.5, run: int = 3) -> DataFrame:
     """First three consecutive rows beyond the threshold, per group and signal, with the direction of the next ten rows."""
     def cols(w):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.operators import detect as J
 from trustwatch.operators import events as K
+from trustwatch.operators import onsets as O
 from trustwatch.operators.baseline import zscores
 from trustwatch.plans import q_detect as QD
 from trustwatch.plans import q_profile as QP
@@ -90,9 +91,13 @@ def k6(spark, sf):
     return K.drop_echoes(K.segments(QD.score_table(spark, sf)), again)
 
 
+def onset_table(spark, sf):
+    return V.staged(spark, sf, "onsets", lambda s, d: O.estimate(QD.score_table(s, d)), ["grp"])
+
+
 def flags(spark, sf):
     return V.staged(spark, sf, "flags", lambda s, d: K.build_flags(
-        K.summary_events(K.segments(QD.score_table(s, d)), QD.score_table(s, d), V.SIGNALS, None), model_points(s, d), K.onsets(QD.score_table(s, d))), ["grp", "row_start"])
+        K.summary_events(K.segments(QD.score_table(s, d)), QD.score_table(s, d), V.SIGNALS, None), model_points(s, d), onset_table(s, d)), ["grp", "row_start"])
 
 
 @query("k7_flags")
@@ -104,12 +109,31 @@ def k7(spark, sf):
 al AS (SELECT grp, min(pos) AS alarm FROM s WHERE st > 3 GROUP BY 1), o AS (SELECT s.grp, any_value(alarm) AS alarm, least(any_value(alarm), coalesce(max(CASE WHEN st <= 1e-9 AND pos <= alarm THEN pos END) + 1, 0)) AS onset FROM s JOIN al USING (grp) GROUP BY s.grp)
 SELECT o.grp, sc.row, onset AS pos, alarm FROM o JOIN sc ON sc.grp = o.grp AND sc.pos = onset""")
 def k8(spark, sf):
-    return K.onsets(simple(spark, sf)).select("grp", "row", "pos", "alarm")
+    return alarm_rows(spark, sf).select("grp", "row", "pos", "alarm")
+
+
+def alarm_rows(spark, sf):
+    m = O.moments(simple(spark, sf))
+    return O.alarms(m).withColumnRenamed("alarm_pos", "pos").join(m.select("grp", "pos", "row"), ["grp", "pos"])
 
 
-@query("k8_knee_onsets")
+KNEE = W + """, x0 AS (SELECT grp, pos, ln(1 + greatest(score, 0)) AS x FROM sc), r AS (SELECT grp, pos, count(*) OVER g AS n, avg(x) OVER g AS m, sum(x) OVER g AS t1, sum(x * x) OVER g AS t2, sum(x * pos) OVER g AS tt,
+  sum(x) OVER o AS s1, sum(x * x) OVER o AS s2, sum(x * pos) OVER o AS st FROM x0 WINDOW g AS (PARTITION BY grp), o AS (PARTITION BY grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, pos + 1 AS k, s1 / (pos + 1) AS a, CAST(n - pos - 1 AS DOUBLE) AS j FROM r WHERE n >= 80 AND pos + 1 >= greatest(2, floor(0.05 * n)) AND pos + 1 < n - greatest(3, floor(0.1 * n))),
+f AS (SELECT *, (tt - st - k * (t1 - s1) - a * (j - 1) * j / 2) / ((j - 1) * j * (2 * j - 1) / 6) AS b FROM k),
+e AS (SELECT grp, k, t2 - t1 * m AS flat, s2 - s1 * a + t2 - s2 - 2 * a * (t1 - s1) + j * a * a - b * b * ((j - 1) * j * (2 * j - 1) / 6) AS sse FROM f WHERE b > 0)"""
+
+
+@query("k8_knee_onsets", KNEE + " SELECT grp, min_by(k, sse) AS knee_pos, round(1 - min(sse) / any_value(flat), 6) AS knee_gain FROM e WHERE sse < flat AND flat > 1e-9 GROUP BY grp")
 def k8_knee(spark, sf):
-    return K.knee_onsets(QD.score_table(spark, sf))
+    m = O.moments(simple(spark, sf))
+    ends = m.groupBy("grp").agg((F.max("pos") + 1).alias("end"))
+    return O.knees(m, ends).select("grp", "knee_pos", F.round("knee_gain", 6).alias("knee_gain"))
+
+
+@query("k8_onset_estimates")
+def k8_estimates(spark, sf):
+    return onset_table(spark, sf)
 
 
 def first_moves(spark, sf, thr=1.2):
