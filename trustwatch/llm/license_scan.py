@@ -5,10 +5,12 @@ foreign: ceil(100 / t * words of the template). Runs overlap, one ends at every
 scattered over a long line or text don't add up.
 Tokens are ordered by how many documents hold them, rarest first, ties by the token. A block can hold ``t`` percent of a
 template's distinct tokens only if its text has one of the template's first |T| - need + 1 tokens in that order (prefix filter),
-need tokens at all (length filter), and enough of the template's tokens from its first shared one on (positional filter).
+need tokens at all (length filter), and, from the first shared token on, need tokens in the template's order and in the text's own
+(positional filter: what the text holds before that token is of other templates).
 Only tokens of templates matter, so the statistics are of the templates' vocabulary, over all documents. Candidate pairs (text, template)
 come from an equi-join on prefix tokens and are verified by whole sets; in those left, a pass over the places of the template's
-tokens finds the block that holds most of them. The templates are a parameter and few; they are literals.
+tokens finds the blocks, from left to right: of runs that overlap the one that holds most (the first of equals), then the next behind its end.
+The templates are a parameter and few; they are literals.
 """
 
 from __future__ import annotations
@@ -43,49 +45,60 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(_lower(c), F.lit(WORD), F.lit(0))
 
 
-def _ordered_templates(spark: SparkSession, rows: DataFrame, templates: dict[str, str], percent: int) -> list[dict]:
-    """label, tokens in the global order, need, prefix length and width of a block of each template (the driver holds the templates' tokens alone)."""
+def _ordered_templates(spark: SparkSession, rows: DataFrame, templates: dict[str, str], percent: int) -> tuple[list[str], list[dict]]:
+    """All tokens in the global order, and label, tokens in the global order, need, prefix length and width of a block of each template (the driver holds the templates' tokens alone)."""
     vocabulary = sorted({w for t in templates.values() for w in _plain(t)})
     df = {r.token: r.n for r in rows.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    vocabulary.sort(key=lambda w: (df.get(w, 0), w))
     out = []
     for label, t in templates.items():
-        tokens = sorted(set(_plain(t)), key=lambda w: (df.get(w, 0), w))
+        tokens = [w for w in vocabulary if w in set(_plain(t))]
         need = -(-percent * len(tokens) // 100)
         out.append({"label": label, "tokens": tokens, "need": need, "prefix": len(tokens) - need + 1, "width": -(-100 * len(_plain(t)) // percent)})
-    return out
+    return vocabulary, out
 
 
 def _plain(t: str) -> list[str]:
     return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
 
 
+def candidate_pairs(docs: DataFrame, templates: dict[str, str], percent: int, positional: bool = True) -> DataFrame:
+    """(doc_id, w, has, label, tokens, need, width) of the texts and templates that the filters leave; ``has``: the text's template tokens in the global order."""
+    rows = id_text(docs)
+    order, known = _ordered_templates(docs.sparkSession, rows.select(words(F.col("text")).alias("words")), templates, percent)
+    prefixes = F.array(*map(F.lit, sorted({w for t in known for w in t["tokens"][:t["prefix"]]})))
+    least = min(t["need"] for t in known)
+    texts = rows.filter(F.length("text") >= 2 * least - 1).select("doc_id", words(F.col("text")).alias("w")).withColumn("has", F.array_intersect(F.array(*map(F.lit, order)), "w")) \
+        .filter((F.size("has") >= least) & F.arrays_overlap("has", prefixes))
+    side = docs.sparkSession.createDataFrame([(w, t["label"], t["tokens"], t["need"], t["width"], i) for t in known for i, w in enumerate(t["tokens"][:t["prefix"]])], "token string, label string, tokens array<string>, need int, width int, place int")
+    pairs = texts.withColumn("token", F.explode(F.array_intersect("has", prefixes))).join(F.broadcast(side), "token")
+    # a pair stands at its first shared prefix token only; array_position counts from 1
+    pairs = pairs.filter("size(has) >= need AND NOT exists(slice(tokens, 1, place), x -> array_contains(has, x))")
+    if positional:
+        pairs = pairs.filter("least(size(tokens) - place, size(has) - array_position(has, token) + 1) >= need")
+    return pairs.select("doc_id", "w", "has", "label", "tokens", "need", "width")
+
+
 def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
-    """(doc_id, label, containment): of every text with a block that holds at least ``percent`` of a template's distinct tokens, the most that one holds."""
+    """(doc_id, label, start, end, containment): every block (words from 0, end exclusive) that holds at least ``percent`` of a template's distinct tokens.
+
+    Of runs that overlap, the one that holds most counts, the first of equals; it begins and ends with a token of the template. No templates: no rows.
+    """
     templates = TEMPLATES if templates is None else templates
-    spark = docs.sparkSession
-    rows = id_text(docs)
     if not templates:
-        return rows.select("doc_id", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
-    known = _ordered_templates(spark, rows.select(words(F.col("text")).alias("words")), templates, percent)
-    prefixes = sorted({w for t in known for w in t["tokens"][:t["prefix"]]})
-    least = min(t["need"] for t in known)
-    lits = F.array(*map(F.lit, prefixes))
-    vocabulary = F.array(*map(F.lit, sorted({w for t in known for w in t["tokens"]})))
-    texts = rows.filter(F.length("text") >= 2 * least - 1).select("doc_id", words(F.col("text")).alias("w")).withColumn("has", F.array_intersect("w", vocabulary)) \
-        .filter((F.size("has") >= least) & F.arrays_overlap("has", lits))
-    side = spark.createDataFrame([(w, t["label"], t["tokens"], t["need"], t["width"], i) for t in known for i, w in enumerate(t["tokens"][:t["prefix"]])], "token string, label string, tokens array<string>, need int, width int, place int")
-    pairs = texts.withColumn("token", F.explode(F.array_intersect("has", lits))).join(F.broadcast(side), "token") \
-        .filter("size(has) >= need AND size(tokens) - place >= need")
-    # a pair is verified at its first shared prefix token only
-    first = F.expr("NOT exists(slice(tokens, 1, place), x -> array_contains(has, x))")
-    pairs = pairs.filter(first).filter(F.size(F.array_intersect("tokens", "has")) >= F.col("need"))
-    # near: the last place of each token within a block's width, so its size is what the block ending there holds
+        return id_text(docs).select("doc_id", F.lit("").alias("label"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(0.0).alias("containment")).limit(0)
+    pairs = candidate_pairs(docs, templates, percent).filter(F.size(F.array_intersect("tokens", "has")) >= F.col("need"))
+    # near: the last place of each token within a block's width, in order of places, so its size is what the block ending there holds
     places = "filter(transform(w, (x, i) -> named_struct('i', i, 't', x)), y -> array_contains(tokens, y.t))"
-    most = F.expr(f"""aggregate({places}, named_struct('most', 0, 'near', CAST(array() AS array<struct<i: int, t: string>>)),
-        (s, y) -> named_struct('most', greatest(s.most, size(s.near)), 'near', concat(filter(s.near, z -> z.t <> y.t AND z.i > y.i - width), array(y))),
-        s -> greatest(s.most, size(s.near)))""")
-    return pairs.select("doc_id", "label", "need", most.alias("shared"), F.size("tokens").alias("all")) \
-        .filter("shared >= need").select("doc_id", "label", (F.col("shared") / F.col("all")).alias("containment"))
+    near = "concat(filter(s.near, z -> z.t <> y.t AND z.i > y.i - width), array(y))"
+    block = "array(named_struct('start', n[0].i, 'end', y.i + 1, 'shared', size(n)))"
+    last = "get(s.got, size(s.got) - 1)"
+    got = f"""CASE WHEN size(n) < need THEN s.got WHEN size(s.got) = 0 OR n[0].i >= {last}.end THEN concat(s.got, {block})
+        WHEN size(n) > {last}.shared THEN concat(slice(s.got, 1, size(s.got) - 1), {block}) ELSE s.got END"""
+    blocks = F.expr(f"""aggregate({places}, named_struct('near', CAST(array() AS array<struct<i: int, t: string>>), 'got', CAST(array() AS array<struct<start: int, end: int, shared: int>>)),
+        (s, y) -> transform(array({near}), n -> named_struct('near', n, 'got', {got}))[0], s -> s.got)""")
+    found = pairs.select("doc_id", "label", F.size("tokens").alias("all"), F.explode(blocks).alias("b"))
+    return found.select("doc_id", "label", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"), (F.col("b.shared") / F.col("all")).alias("containment"))
 
 
 def phrase_places(w: Column, phrases: dict[str, str]) -> Column:
@@ -110,16 +123,16 @@ def _follow(w: Column, i: Column, p: list[str]) -> Column:
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
-    """doc_id, n_words, places (start, label of each phrase), blocks (label, containment), one row per row of ``docs``.
+    """doc_id, n_words, places (start, label of each phrase), blocks (of each label met: the most containment, number of blocks, first start, last end), one row per row of ``docs``.
 
     Null texts are empty: no words, no places. Blocks are runs of words, whatever the lines. Repeated doc_ids get the blocks of all their rows; empty
     tables give no rows; extra columns are ignored.
     """
     phrases = PHRASES if phrases is None else phrases
-    met = similar_blocks(docs, templates, percent).groupBy("doc_id", "label").agg(F.max("containment").alias("containment")) \
-        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("blocks"))
+    met = similar_blocks(docs, templates, percent).groupBy("doc_id", "label").agg(F.max("containment").alias("containment"), F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")) \
+        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "containment", "n", "start", "end"))).alias("blocks"))
     w = id_text(docs).select("doc_id", words(F.col("text")).alias("w"))
     empty = F.array().cast("array<struct<start:bigint,label:string>>")
     heads = F.array(*[F.lit(p.split(" ")[0]) for p in phrases])
     base = w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", heads), phrase_places(F.col("w"), phrases)).otherwise(empty).alias("places"))
-    return base.join(written(met, "blocks"), "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<label:string,containment:double>>")))
+    return base.join(written(met, "blocks"), "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<label:string,containment:double,n:bigint,start:bigint,end:bigint>>")))

@@ -40,7 +40,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.array_sort(F.array_distinct(F.concat(F.transform("places", lambda x: x["label"]), F.transform("blocks", lambda x: x["label"]))))
     score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0)))
     return got.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(F.transform("places", lambda x: x["start"])).alias("first_word"), F.array_max(F.transform("places", lambda x: x["start"])).alias("last_word"),
-                      F.concat_ws(",", labels).alias("base_labels"), F.concat_ws(",", more).alias("labels"), score.alias("score"))
+                      F.concat_ws(",", labels).alias("base_labels"), F.concat_ws(",", more).alias("labels"), score.alias("score"), F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_blocks"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
