@@ -47,6 +47,7 @@ def test_blocks_have_places(spark):
     assert [b[:2] for b in want[0, "mit"]] == [(0, n), (n, 2 * n)] and len(want[1, "mit"]) == 2 and want[6, "mit"] == [(20000, 20000 + n, 1.0)]
     one = {r.doc_id: {b.label: (b.n, b.start, b.end) for b in r.blocks} for r in L.license_scan(docs).collect()}
     assert one[0] == {"mit": (2, 0, 2 * n)} and one[2] == one[3] == {}
+    assert {(r.n_words, len(r.places), len(r.blocks)) for r in L.license_scan(docs.filter("doc_id < 4"), {}, {}).collect()} == {(2 * n, 0, 0), (len(L._plain(rows[1])), 0, 0), (0, 0, 0)}
     assert L.similar_blocks(docs, {}).count() == 0 and L.similar_blocks(docs.filter("false")).count() == 0
 
 
@@ -56,6 +57,6 @@ def test_positional_filter_prunes_and_loses_nothing(spark):
     known = {"a": a, "b": b}
     rows = [a, b, "b1 b2 b3 b4 b9", "a4 c1 c2 b1 b2", "b1 b2 a1", "c1 c2 b1 b2 b3 a4", "a1 a2 b3 c1"] + ["c1 c2 c3"] * 9
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    pairs = lambda p: {(r.doc_id, r.label) for r in L.candidate_pairs(docs, known, 60, p).select("doc_id", "label").collect()}
+    pairs = lambda p: {(r.doc_id, r.label) for r in L.candidate_pairs(L.token_sets(docs, known), known, 60, p).select("doc_id", "label").collect()}
     held = {(i, name) for i, x in enumerate(rows) for name, t in known.items() if len(set(x.split()) & set(t.split())) >= 4}
     assert held <= pairs(True) < pairs(False) and (6, "b") in pairs(False) - pairs(True)
