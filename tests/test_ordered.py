@@ -122,3 +122,17 @@ def test_numbering_and_intervals(spark, series):
     assert got == 48 + 6 + 40
     b = iv.select("grp", F.col("row_start").alias("b_start"), F.col("row_end").alias("b_end"))
     assert ordered.overlap_intervals(iv, b, ["grp"], bucket_rows=8).count() == 5
+
+
+def test_rolling_std_on_its_limit_is_decided_as_in_sql(spark):
+    """Windows whose deviation is 8 but for the last digit."""
+    from tests.oracle import duck
+    from trustwatch.operators import rules
+
+    at_limit = [[29, 41, 26, 37, 21, 26, 45, 27, 43, 33, 40, 40], [20, 35, 22, 31, 44, 34, 43, 24, 26, 29, 38, 38], [42, 40, 38, 40, 27, 33, 40, 20, 42, 35, 31, 20]]
+    rows = [(str(g), 12 * g + i, i, float(v)) for g, w in enumerate(at_limit) for i, v in enumerate(w)]
+    spec = dict(rule_id="R", type="rolling_stat", signal="s01", stat="std", window=12, op=">=", value=8.0)
+    got = rules.rule_episodes(spark.createDataFrame(rows, "grp string, row long, pos long, s01 double"), [spec])
+    values = ", ".join(f"('{g}', {p}, {x})" for g, _, p, x in rows)
+    want = duck("/none").sql(f"SELECT grp FROM (SELECT grp, pos, stddev_samp(CAST(x AS DOUBLE)) OVER (PARTITION BY grp ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS v FROM (VALUES {values}) AS t(grp, pos, x)) WHERE pos = 11 AND NOT v >= 8").fetchall()
+    assert sorted((r.grp,) for r in got.collect()) == sorted(want) == [("0",)]

@@ -83,6 +83,18 @@ def _lookback(r: Mapping) -> int:
             "drift": (r.get("window") or 1) - 1, "duration": 1 if r.get("condition") == "constant" else 0}.get(r["type"], 0)
 
 
+def _std(x: Column, roll) -> Column:
+    """Sample standard deviation of a short full frame by Welford's recurrence in row order. Rules compare it with a limit that readings can meet exactly,
+    so its last digit decides: it must not depend on how the engine groups its sums."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, v: Column) -> Column:
+        mean = s["mean"] + (v - s["mean"]) / (s["n"] + 1.0)
+        return F.struct((s["n"] + 1.0).alias("n"), mean.alias("mean"), (s["m2"] + (v - mean) * (v - s["mean"])).alias("m2"))
+
+    return F.aggregate(F.collect_list(x.cast("double")).over(roll), start, step, lambda s: F.when(s["n"] > 1, F.sqrt(s["m2"] / (s["n"] - 1.0))))
+
+
 def _violation(r: Mapping, w) -> tuple[Column, Column]:
     """(violated, watched value) of one rule on the ordered rows of a group."""
     x, t = F.col(r["signal"]), r["type"]
@@ -108,8 +120,8 @@ def _violation(r: Mapping, w) -> tuple[Column, Column]:
     roll = w.rowsBetween(-(n - 1), 0)
     full = F.count(x).over(roll) == n
     if t == "rolling_stat":
-        fn = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[r["stat"]]
-        stat = F.when(full, fn(x).over(roll))
+        fn = {"mean": F.avg, "min": F.min, "max": F.max}
+        stat = F.when(full, _std(x, roll) if r["stat"] == "std" else fn[r["stat"]](x).over(roll))
         return stat.isNotNull() & ~cmp(stat, r["op"], r["value"]), stat
     if t == "drift":
         span = F.when(full, F.max(x).over(roll) - F.min(x).over(roll))
