@@ -77,3 +77,18 @@ def test_feature_windows_run_once(spark):
 
     spec = detect.fit_features(spark.createDataFrame(rows, schema).mapInPandas(through, schema), ["a", "b"], 5)
     assert seen.value <= 8 * len(rows) and set(spec.blocks) == set(spec.names("rmean", "rstd", "d1", "d2"))
+
+
+def test_pivots_only_place_the_brackets(data, monkeypatch):
+    """Few pivots and brackets too narrow for them: ranks are missed, and all values counted; NaN is the largest value and nulls are left out."""
+    p = data.toPandas()
+    for name, value in (("FEW_ROWS", 0), ("PIVOTS", 40), ("SIGMAS", 0.0)):
+        monkeypatch.setattr(S, name, value)
+    for width in (S.AROUND, 0.05):
+        monkeypatch.setattr(S, "WIDTHS", (width,))
+        for r in S.wide_quantiles(data, {c: F.col(c) for c in "abcde"}, [0.3, 0.9]).collect():
+            x = p[r.feature].dropna()
+            assert r.n == len(x) and np.allclose(r.q, np.quantile(x, [0.3, 0.9]), rtol=1e-12, atol=1e-9)
+    nan = data.select(F.when(F.col("e") > 11_000, float("nan")).otherwise(F.col("e")).alias("e"))
+    q = S.wide_quantiles(nan, {"e": F.col("e")}, [0.1, 1.0]).first().q
+    assert np.isclose(q[0], np.quantile(p.e.dropna(), 0.1)) and np.isnan(q[1])
