@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from trustwatch.operators import trajectories as T
 
@@ -50,3 +52,15 @@ def test_near_copies_are_found_with_any_shape(spark):
         got = T.near_duplicate_groups(w, ["a", "b"], sides=sides, size="group_rows")
         assert {(r.a, r.b) for r in got.collect()} == {(f"g{g:03d}", f"t{g:03d}") for g in range(0, 60, 10)}
     assert T.near_duplicate_groups(w.filter("false"), ["a", "b"], size="group_rows").count() == 0
+
+
+def test_signature_work_is_in_proportion_to_its_points(spark):
+    """Means and deviations are found once per group and signal, not anew in a lambda for every point."""
+    d = spark.range(4000).select(F.concat(F.lit("g"), (F.col("id") % 20).cast("string")).alias("grp"), F.floor(F.col("id") / 20).alias("pos"), F.sin(F.col("id") * 0.37).alias("s01"), F.lit(4.0).alias("s02"))
+    sig = T.signatures(d, ["s01", "s02"])
+    assert "aggregate(" not in sig._jdf.queryExecution().optimizedPlan().toString()
+    r = T.resampled(d, ["s01", "s02"]).toPandas().sort_values(["grp", "k"])
+    got = {x.grp: x.signature for x in sig.collect()}
+    for g, rows in r.groupby("grp"):
+        y = rows.s01.to_numpy() - rows.s01.mean()
+        assert got[g] == pytest.approx([*(y / np.sqrt((y * y).sum())), *[0.0] * 32], abs=1e-9)
