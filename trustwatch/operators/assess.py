@@ -161,7 +161,7 @@ def unit_vectors(wide: DataFrame, signals: Sequence[str]) -> DataFrame:
     """Robustly standardised (mean, spread) vector of each group."""
     a = wide.groupBy("grp").agg(*[e for s in signals for e in (F.avg(s).alias(f"m_{s}"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias(f"d_{s}"))])
     cols = [c for c in a.columns if c != "grp"]
-    t = detect._rows(detect.scale_table(a, cols))
+    t = detect.scales_of(a, cols)
     z = [F.least(F.lit(10.0), F.greatest(F.lit(-10.0), (F.coalesce(F.col(c), F.lit(t[c]["med"])) - F.lit(t[c]["med"])) / F.lit(max(t[c]["scale"], 1e-9)))) for c in cols]
     return a.select("grp", F.array(*z).alias("vector"))
 
