@@ -31,9 +31,9 @@ def modes(z: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Density mode of each signal: 200 bins on -10..10, smoothed over 5 bins."""
     long = z.select(*cols).unpivot([], list(cols), "signal", "z")
     b = F.least(F.lit(BINS - 1), F.floor((F.col("z") + 10.0) * 10.0 + 1e-9).cast("int"))
-    h = long.groupBy("signal", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    h = once(long.groupBy("signal", b.alias("bin")).agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy("signal").orderBy("bin").rangeBetween(-2, 2)
-    bins = long.select("signal").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    bins = h.select("signal").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     h = bins.join(h, ["signal", "bin"], "left").withColumn("sm", F.sum(F.coalesce("c", F.lit(0))).over(w))
     return h.groupBy("signal").agg((F.max_by("bin", F.struct("sm", -F.col("bin"))) * 0.1 - 10.0 + 0.05).alias("mode"))
 
@@ -59,11 +59,16 @@ def otsu(d: DataFrame, col: str, bins: int = 128) -> DataFrame:
     return h.withColumn("g", between).agg((F.max_by("lo", F.struct("g", -F.col("bin"))) + (F.max_by("bin", F.struct("g", -F.col("bin"))) + 1) * F.max(step)).alias("otsu"))
 
 
+def mode_threshold(t: DataFrame) -> DataFrame:
+    """thr (one row): Otsu's threshold of ``typ``, clamped to its 10-70 % quantiles. ``t`` is read several times: write it first."""
+    q = S.wide_quantiles(t, {"typ": F.col("typ")}, (0.1, 0.7)).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi")).crossJoin(F.broadcast(otsu(t, "typ")))
+    return q.select(F.least(F.greatest("otsu", "lo"), F.col("hi")).alias("thr"))
+
+
 def baseline_modes(z: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows where most signals sit near their density mode (threshold by Otsu, clamped to the 10-70 % quantiles)."""
     t = typicality(z, cols)
-    q = S.wide_quantiles(t, {"typ": F.col("typ")}, (0.1, 0.7)).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi")).crossJoin(F.broadcast(otsu(t, "typ")))
-    thr = q.select(F.least(F.greatest("otsu", "lo"), F.col("hi")).alias("thr"))
+    thr = mode_threshold(t.select("typ"))
     return t.crossJoin(F.broadcast(thr)).select("row", "grp", "pos", (F.col("typ") >= F.col("thr")).alias("in_baseline"))
 
 

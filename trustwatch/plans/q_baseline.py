@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustwatch.functions import stats as S
 from trustwatch.operators import baseline as B
+from trustwatch.operators.quality import once
 from trustwatch.plans import views as V
 from trustwatch.plans.q_detect import sc
 from trustwatch.plans.q_profile import WL
@@ -39,10 +40,8 @@ o1 AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 128 AS x FROM o0), o2 AS (SELECT
 o3 AS (SELECT lo + (bin + 1) * (hi - lo) / 128 AS otsu FROM o2 ORDER BY CASE WHEN w = w0 THEN -1 ELSE w0 * (w - w0) * pow(s0 / w0 - (s - s0) / nullif(w - w0, 0), 2) END DESC, bin LIMIT 1)
 SELECT CAST(count(*) FILTER (typ >= least(greatest(otsu, q1), q7)) AS BIGINT) AS n_baseline, round(max(least(greatest(otsu, q1), q7)), 4) AS threshold FROM ty, o3, lim""")
 def i1(spark, sf):
-    t = B.typicality(z(spark, sf), COLS)
-    b = B.baseline_modes(z(spark, sf), COLS).filter("in_baseline")
-    return b.join(t, ["grp", "row"]).agg(F.count(F.lit(1)).alias("n_baseline"), F.lit(0).alias("_")).drop("_").crossJoin(
-        t.agg(F.percentile("typ", F.lit(0.1)).alias("lo"), F.percentile("typ", F.lit(0.7)).alias("hi")).crossJoin(B.otsu(t, "typ")).select(F.round(F.least(F.greatest("otsu", "lo"), F.col("hi")), 4).alias("threshold")))
+    t = once(B.typicality(z(spark, sf), COLS).select("typ"))
+    return t.crossJoin(F.broadcast(B.mode_threshold(t))).agg(F.count(F.when(F.col("typ") >= F.col("thr"), 1)).alias("n_baseline"), F.round(F.max("thr"), 4).alias("threshold"))
 
 
 @query("i2_prechange_rows")
